@@ -1,11 +1,15 @@
 """The operators' queries and, where SQL can say them, the SQL with the same rows."""
 
-from millrace.llm import line_frequency, toxicity
+from millrace.llm import line_frequency, mixing, sharding, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_sharding": sharding.query,
     "op4_toxicity": toxicity.query,
     "op5_line_frequency": line_frequency.query,
 }
 ORACLES = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_sharding": sharding.ORACLE,
     "op5_line_frequency": line_frequency.ORACLE,
 }
