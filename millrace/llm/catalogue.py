@@ -1,15 +1,18 @@
 """The operators' queries and, where SQL can say them, the SQL with the same rows."""
 
-from millrace.llm import line_frequency, mixing, sharding, toxicity
+from millrace.llm import line_frequency, mixing, packing, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_sharding": sharding.query,
+    "op3_url_filter": url_filter.query,
     "op4_toxicity": toxicity.query,
     "op5_line_frequency": line_frequency.query,
+    "op6_packing": packing.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op2_sharding": sharding.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
     "op5_line_frequency": line_frequency.ORACLE,
 }
