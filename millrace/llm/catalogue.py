@@ -1,6 +1,6 @@
 """The operators' queries and, where SQL can say them, the SQL with the same rows."""
 
-from millrace.llm import line_frequency, mixing, packing, sharding, toxicity, url_filter
+from millrace.llm import line_frequency, mixing, near_duplicates, packing, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_line_frequency": line_frequency.query,
     "op6_packing": packing.query,
+    "op7_token_counts": token_counts.query,
+    "op8_near_duplicates": near_duplicates.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
