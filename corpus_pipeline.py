@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import line_frequency, toxicity
+from millrace.llm import line_frequency, mixing, near_duplicates, packing, toxicity
 from millrace.llm._shared import written
 
 
@@ -20,7 +20,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, model, score=None)
 
 
-STAGES = [("quality", quality), ("toxicity", toxic)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return near_duplicates.deduplicate(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents to the target weights; a document stands as often as the mixture repeats it."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins that hold the documents' pieces."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality), ("toxicity", toxic), ("near duplicates", near_copies), ("mixing", mixture), ("packing", packed)]
+#: The classifier, the fingerprints and the packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -28,5 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -1,6 +1,6 @@
 """The operators' queries and, where SQL can say them, the SQL with the same rows."""
 
-from millrace.llm import chunk_fingerprints, line_frequency, mixing, near_duplicates, packing, sharding, token_counts, toxicity, url_filter
+from millrace.llm import chunk_fingerprints, line_frequency, mixing, near_duplicates, packing, range_coder, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_counts": token_counts.query,
     "op8_near_duplicates": near_duplicates.query,
     "op9_chunk_fingerprints": chunk_fingerprints.query,
+    "op10_range_coder": range_coder.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
