@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from millrace.llm._shared import fresh, written
 
-ROWS_PER_SHARD, SEED, BUCKET_ROWS = 2048, 31, 8192
+ROWS_PER_SHARD, SEED, BUCKET_ROWS, BROADCAST_ROWS = 2048, 31, 2048, 500_000
 
 
 def _hash(seed: int, doc_id: str, text: str):
@@ -43,8 +43,10 @@ def cut_table(counts: DataFrame, total: int, shards: int) -> DataFrame:
     sizes = written(sizes.withColumn("before", F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("cell")) - F.col("count")), "cells")
     starts = spark.range(1, shards).select(F.expr(f"id * {total} div {shards}").alias("p"))
     # only cells in which a shard begins are sorted
-    at = ranks.join(sizes, "cell").withColumn("p", F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("f", "s")) - 1)
-    cuts = at.join(starts, "p").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("cuts"))
+    # the generated side looks tiny to the planner, so the side of one row a shard is named
+    one_a_shard = F.broadcast if shards <= BROADCAST_ROWS else (lambda x: x.hint("merge"))
+    at = ranks.join(one_a_shard(sizes), "cell").withColumn("p", F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("f", "s")) - 1)
+    cuts = at.join(one_a_shard(starts), "p").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("cuts"))
     cells = spark.range(shards).withColumnRenamed("id", "cell").join(cuts, "cell", "left")
     k = F.coalesce(F.size("cuts"), F.lit(0))
     return cells.withColumn("base", F.coalesce(F.sum(k).over(Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -62,14 +64,14 @@ def shard(
     shards = max(1, -(-total // rows_per_shard))
     counts = counts.withColumn("width", F.expr(f"shiftleft(1L, cast(60 - greatest(0, ceil(log2(n / {float(bucket_rows)}))) as int))"))
     bucket = lambda h: F.expr(f"cast(conv(substr({h}, 1, 15), 16, 10) as bigint) div width")
-    offsets = hashed.join(F.broadcast(counts) if counts.count() <= 500_000 else counts, "s").groupBy("s", bucket("h").alias("b"), "n", "width").count()
+    offsets = hashed.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "s").groupBy("s", bucket("h").alias("b"), "n", "width").count()
     before = F.sum("count").over(Window.partitionBy("s").orderBy("b")) - F.col("count")
     offsets = written(offsets.select("s", "b", before.alias("offset")), "offsets")
     cells = written(cut_table(counts, total, shards), "cuts")
     plain = [x.name for x in df.schema if not _has_map(x.dataType)]
     rows = df.withColumns({s: src, h: _hash(seed, doc_id, text), tie: F.xxhash64(*(F.col(f"`{x}`") for x in plain))})
     sized = counts.select(F.col("s").alias(s), F.col("n").alias(f"{h}n"), "width")
-    rows = rows.join(F.broadcast(sized) if counts.count() <= 500_000 else sized, s).withColumn(b, bucket(f"`{h}`")).drop("width")
+    rows = rows.join(F.broadcast(sized) if counts.count() <= BROADCAST_ROWS else sized, s).withColumn(b, bucket(f"`{h}`")).drop("width")
     rank = F.row_number().over(Window.partitionBy(s, b).orderBy(h, tie))
     rows = rows.withColumn(r, rank).join(offsets.select(F.col("s").alias(s), F.col("b").alias(b), F.col("offset").alias(f"{h}o")), [s, b])
     rows = rows.withColumn(f, (F.col(r) + F.col(f"{h}o") - 0.5) / F.col(f"{h}n")).withColumn(cell, F.least(F.floor(F.col(f) * shards), F.lit(shards - 1)))
