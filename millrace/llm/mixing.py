@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.llm._shared import fresh, small_enough, written
@@ -132,9 +131,6 @@ def mix(
     return out.select(c(doc_id).alias("doc_id"), F.col(dom).alias("domain"), F.col(lg).alias("lang"), F.col(src).alias("source"), F.col(h).cast("long").alias("epoch"), F.col(n).alias("n_tokens"))
 
 
-SCHEMA = T.StructType.fromDDL("doc_id long, domain string, lang string, source string, epoch long, n_tokens long")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: one row for each time a document is taken."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), plan=True)
