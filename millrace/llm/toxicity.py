@@ -3,7 +3,8 @@
 Features of a text are its distinct words and the words' first four and five letters (inflected forms share these).
 A sparse logistic model is fitted on the driver on at most ``max_labelled`` labelled rows, chosen by a seeded hash of
 their id, and at most ``max_features`` features that occur in enough toxic rows and ``lift`` times as often there as
-in the others. For every labelled sentence with an identity term, counterfactuals swap the term for each other term of
+in the others (four times that for stems); of a word, the one with the
+largest lift counts. For every labelled sentence with an identity term, counterfactuals swap the term for each other term of
 its group; the loss adds ``fairness`` times the mean squared change of the score over those pairs, so that no term of
 a group can raise a score that its siblings don't raise. A document's score is that of its worst sentence, so long clean
 texts don't add up; it is rejected from ``threshold`` on, which is fitted on the same rows: midway between the clean and
@@ -39,13 +40,25 @@ IDENTITY = (
 WORD, SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n]+")
 
 
-def _h(s: str) -> int:
-    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1
+def _h(s: str, prefix: bool = False) -> int:
+    """63 bits; the last one tells prefixes from words."""
+    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 2 << 1 | prefix
 
 
 def word_features(w: str) -> tuple[int, ...]:
-    """The word's own feature and, for longer ones, its first four and five letters."""
-    return (_h(w),) if len(w) < 5 else (_h(w), _h(f"4^{w[:4]}"), _h(f"5^{w[:5]}"))
+    """The first four and five letters of longer words, and the word's own feature."""
+    return (_h(w),) if len(w) < 5 else (_h(f"4^{w[:4]}", True), _h(f"5^{w[:5]}", True), _h(w))
+
+
+def known_feature(w: str, lifts: dict[int, float]) -> int | None:
+    """Of the word's known features the one with the largest lift, the most general one in a tie: new endings of a stem
+    that only toxic rows have then weigh as much as old ones."""
+    best, top = None, 0.0
+    for f in word_features(w):
+        lift = lifts.get(f, 0.0)
+        if lift > top:
+            best, top = f, lift
+    return best
 
 
 def text_features(text: str) -> set[int]:
@@ -69,26 +82,26 @@ def _features_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ys.cast(pa.int32()), pa.array(fs, pa.list_(pa.int64()))], ["y", "f"])
 
 
-def _rows_pass(chosen, groups: tuple[str, ...]):
+def _rows_pass(chosen, lifts, groups: tuple[str, ...]):
     """(text, toxic) to rows of sentences: (row, y, cf, plus, minus); cf rows are counterfactual pairs. Only chosen
     features are kept, so a sentence without any gives no row; each document gives one row at least."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, other = chosen.value, swaps(groups)
+        index, known, other = chosen.value, lifts.value, swaps(groups)
         for b in batches(it, 4 << 20):
             out: tuple[list, ...] = ([], [], [], [], [])
             for row, (t, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 found = [(row, y, False, [], [])]
                 for s in SENTENCE.split((t or "").lower()):
                     ws = set(WORD.findall(s))
-                    f = {index[x] for w in ws for x in word_features(w) if x in index}
+                    f = {index[x] for w in ws if (x := known_feature(w, known)) is not None}
                     if f:
                         found.append((row, y, False, sorted(f), []))
                     for w in ws & other.keys():
-                        rest = {x for v in ws - {w} for x in word_features(v)}
+                        rest = {known_feature(v, known) for v in ws - {w}} | {None}
                         for v in other[w]:
-                            a, z = set(word_features(v)) - rest, set(word_features(w)) - rest
-                            plus, minus = [index[x] for x in a - z if x in index], [index[x] for x in z - a if x in index]
+                            a, z = {known_feature(v, known)} - rest, {known_feature(w, known)} - rest
+                            plus, minus = [index[x] for x in a - z], [index[x] for x in z - a]
                             if plus or minus:
                                 found.append((row, y, True, plus, minus))
                 for r in found:
@@ -137,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = written(texts.select("t", "y"), "labelled")
     n = dict(texts.groupBy("y").count().collect())
     pos, neg = n.get(1, 0), n.get(0, 0)
-    none = {"weights": {}, "bias": -30.0, "threshold": 0.5}
+    none = {"weights": {}, "lifts": {}, "bias": -30.0, "threshold": 0.5}
     if not pos or not neg:
         return none
     least = max(3, round(0.002 * pos))
@@ -145,12 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic = feats.filter("y = 1").select(F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("p")).filter(F.col("p") >= least)
     clean = feats.filter("y = 0").select(F.explode("f").alias("f")).join(F.broadcast(toxic.select("f")), "f").groupBy("f").agg(F.count("*").alias("q"))
     score = (F.col("p") + 0.1) / pos / ((F.coalesce("q", F.lit(0)) + 0.5) / neg)
-    top = toxic.join(clean, "f", "left").filter(score >= lift).orderBy(F.col("p").desc(), score.desc(), "f").limit(max_features)
-    index = {r[0]: i for i, r in enumerate(top.select("f").collect())}
+    top = toxic.join(clean, "f", "left").filter(score >= F.when(F.col("f").bitwiseAND(1) == 1, 4 * lift).otherwise(lift)).orderBy(F.col("p").desc(), score.desc(), "f").limit(max_features)
+    lifts = {r[0]: r[1] for r in top.select("f", score).collect()}
+    index = {f: i for i, f in enumerate(lifts)}
     if not index:
         return none
-    rows = texts.repartition(4).mapInArrow(_rows_pass(docs.sparkSession.sparkContext.broadcast(index), groups), "row long, y int, cf boolean, plus array<int>, minus array<int>")
-    got = rows.withColumn("p", F.spark_partition_id()).toArrow().to_pylist()
+    share = docs.sparkSession.sparkContext.broadcast
+    rows = texts.repartition(4).mapInArrow(_rows_pass(share(index), share(lifts), groups), "row long, y int, cf boolean, plus array<int>, minus array<int>")
+    got = rows.toArrow().to_pylist()
     # a document's lines follow each other: a new one starts with the row that has no features
     x, y, plus, minus, sentences = [], [], [], [], []
     for g in got:
@@ -171,19 +186,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # midway between nearly all clean scores and nearly all toxic ones, if those part
     lo, hi = np.quantile(p[y == 0], 0.999), np.quantile(p[y == 1], 0.02)
     cut = float((lo + hi) / 2) if hi > lo else 0.5
-    return {"weights": {f: float(w[i]) for f, i in index.items() if w[i]}, "bias": b, "threshold": cut}
+    return {"weights": {f: float(w[i]) for f, i in index.items()}, "lifts": lifts, "bias": b, "threshold": cut}
 
 
-def score_text(text: str | None, weights: dict[int, float], bias: float, memo: dict | None = None) -> float:
+def score_text(text: str | None, model: dict, memo: dict | None = None) -> float:
     """The worst sentence's probability; 0 for a text with no feature of the model."""
     if not text:
         return 0.0
     low, memo, best = text.lower(), {} if memo is None else memo, None
+    weights, lifts, bias = model["weights"], model["lifts"], model["bias"]
     hit = []
     for w in set(WORD.findall(low)):
         f = memo.get(w)
         if f is None:
-            f = memo[w] = tuple(x for x in word_features(w) if x in weights)
+            f = memo[w] = known_feature(w, lifts) or 0
         if f:
             hit.append(w)
     if not hit:
@@ -192,21 +208,21 @@ def score_text(text: str | None, weights: dict[int, float], bias: float, memo: d
     for s in SENTENCE.split(low):
         ws = hit.intersection(WORD.findall(s))
         if ws:
-            z = bias + sum(weights[x] for x in {x for w in ws for x in memo[w]})
+            z = bias + sum(weights[x] for x in {memo[w] for w in ws})
             best = z if best is None else max(best, z)
     return 0.0 if best is None else float(1 / (1 + np.exp(-max(-30.0, min(30.0, best)))))
 
 
-def _scorer(model, at: int, keep: list[int]):
+def _scorer(model, at: int, keep: list[int], name: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = model.value, {}
         for b in batches(it, column=at):
             if len(memo) > 400_000:
                 memo.clear()
-            s = np.array([score_text(t, m["weights"], m["bias"], memo) for t in b.column(at).to_pylist()], dtype=float)
+            s = np.array([score_text(t, m, memo) for t in b.column(at).to_pylist()], dtype=float)
             ok = pa.array(s < m["threshold"])
             cols = [b.column(i) for i in keep] + [pa.array(s)]
-            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in cols], [b.schema.names[i] for i in keep] + ["score"])
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in cols], [b.schema.names[i] for i in keep] + [name])
 
     return run
 
@@ -221,7 +237,7 @@ def drop_toxic(df: DataFrame, model: dict, text: str = "text", columns: list[str
     (name,) = fresh(df, "score")
     out[len(out) - 1].name = name
     out.names[-1] = name
-    done = df.mapInArrow(_scorer(df.sparkSession.sparkContext.broadcast(model), df.columns.index(text), keep), out)
+    done = df.mapInArrow(_scorer(df.sparkSession.sparkContext.broadcast(model), df.columns.index(text), keep, name), out)
     return done.drop(name) if score is None else done.withColumnRenamed(name, score)
 
 
