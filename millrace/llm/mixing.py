@@ -39,7 +39,7 @@ SOURCE_WEIGHTS = {"src0": 40, "src3": 20, "src12": 25, "": 10}
 def case(column: str, values: dict[str, int], default: int) -> str:
     """A CASE expression over literals, valid in Spark and in the oracle's SQL."""
     arms = " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items() if k)
-    return f"CAST(CASE {column} {arms} ELSE {default} END AS BIGINT)"
+    return f"CAST(CASE {column} {arms} ELSE {default} END AS BIGINT)" if arms else f"CAST({default} AS BIGINT)"
 
 
 def domain_case(column: str, domains: dict[str, list[str]]) -> str:
