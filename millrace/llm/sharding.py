@@ -2,7 +2,7 @@
 
 Rows of each source are put in a seeded random order; the row of rank r among n gets the fraction (r - 1/2) / n; all rows
 sorted by fraction (then source) are cut into shards of equal size, so every shard holds each source in proportion, to
-within one or two rows.
+within two rows and the source's share of as many rows as there are sources.
 
 Plan: the rank needs no sort of a whole source. The hash is cut into buckets by the source's size, counts of buckets
 give offsets, and a bucket is sorted by itself. Where the cuts between shards fall depends on the sources' sizes alone:
