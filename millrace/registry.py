@@ -53,9 +53,7 @@ class Registry:
 
     def sql(self, name: str, tables: str, spark_sql: str, covers: str = "", oracle: str | None = "same") -> None:
         """A query given as Spark SQL; ``oracle="same"`` when the text is valid ANSI SQL for both engines."""
-        self.query(name, covers, spark_sql if oracle == "same" else oracle)(
-            lambda t: t.views(*tables.split()).sql(spark_sql)
-        )
+        self.query(name, covers, spark_sql if oracle == "same" else oracle)(lambda t: t.views(*tables.split()).sql(spark_sql))
 
 
 REGISTRY = Registry()
