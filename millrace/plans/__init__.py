@@ -6,7 +6,7 @@ import importlib
 
 from millrace.registry import REGISTRY, Registry
 
-MODULES = ("tpch_shapes", "decision_support", "relational", "function_families")
+MODULES = ("tpch_shapes", "decision_support", "relational", "statistics_nulls", "storage", "function_families")
 
 
 def load() -> Registry:
