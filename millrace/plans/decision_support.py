@@ -107,7 +107,7 @@ WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SEL
 SELECT count(*) AS n FROM (SELECT o_orderkey FROM a EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) b""", "U3 U4")
 S("ds_moving_total", "orders", """
 SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving,
-round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS usual FROM orders""", "W2 W5")
+round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS usual FROM orders""", "W2 W5")
 S("ds_full_outer_counts", "orders lineitem", """
 WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderpriority = '1-URGENT'), l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity = 50)
 SELECT CAST(sum(CASE WHEN o.k IS NOT NULL AND l.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS o_only, CAST(sum(CASE WHEN o.k IS NULL AND l.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS l_only,
