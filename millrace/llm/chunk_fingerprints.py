@@ -1,8 +1,9 @@
 """Document fingerprints: content-defined chunking and weighted containment.
 
-A text is normalised (lower case, white space as single blanks) and cut where a gear rolling hash over its last 32 bytes
-has zero top bits. Chunking is normalised: before the average size one more bit must be zero, after it one less, with a least
-and a greatest size, so chunk sizes stay close to the average and an insertion moves only the cuts next to it. A document's
+A text is normalised (lower case, white space as single blanks) and cut where a gear rolling hash over its last ``WINDOW``
+bytes has zero top bits. Chunking is normalised: before the average size one more bit must be zero, after it one less, with a
+least and a greatest size, so chunk sizes stay close to the average and an insertion moves only the cuts next to it. Chunks
+of about 32 bytes, a few words, leave a near copy most of its chunks when one word in 20 or 30 is another. A document's
 fingerprint is the set of its chunks' 64-bit digests, each with its length. The containment of A in B is the length of A's
 chunks that B has too, over the length of all of A's chunks.
 
@@ -34,7 +35,9 @@ from pyspark.sql.window import Window
 
 from millrace.llm._shared import batches, written
 
-LEAST, AVERAGE_BITS, MOST, THRESHOLD, BLOCK = 32, 7, 512, 0.6, 512
+LEAST, AVERAGE_BITS, MOST, THRESHOLD, BLOCK = 32, 7, 512, 0.4, 512
+#: Of a document's chunks: least and greatest size, bits of the average one, and the bytes that decide a cut (at most the least size).
+CHUNK_LEAST, CHUNK_BITS, CHUNK_MOST, WINDOW = 8, 5, 128, 8
 GEAR = np.random.default_rng(43).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -73,17 +76,17 @@ def chunk_sets(texts: list[str | None]) -> list[dict[int, int]]:
     joined = b"".join(datas)
     if not joined:
         return [{} for _ in texts]
-    h = gear_hashes(np.frombuffer(joined, np.uint8))
-    loose = np.flatnonzero(h < np.uint32(1 << (32 - AVERAGE_BITS + 1))) + 1
-    strict = loose[h[loose - 1] < np.uint32(1 << (32 - AVERAGE_BITS - 1))].tolist()
+    h = gear_hashes(np.frombuffer(joined, np.uint8)) << np.uint32(32 - WINDOW)  # the low bits have the last bytes only
+    loose = np.flatnonzero(h < np.uint32(1 << (32 - CHUNK_BITS + 1))) + 1
+    strict = loose[h[loose - 1] < np.uint32(1 << (32 - CHUNK_BITS - 1))].tolist()
     loose, out, at = loose.tolist(), [], 0
     for d in datas:
         found: dict[int, int] = {}
         if d:
-            z, i, j = at + len(d), bisect_left(loose, at + LEAST), bisect_left(strict, at + LEAST)
+            z, i, j = at + len(d), bisect_left(loose, at + CHUNK_LEAST), bisect_left(strict, at + CHUNK_LEAST)
             own_l, own_s = loose[i : bisect_left(loose, z)], strict[j : bisect_left(strict, z)]
             s = at
-            for e in cuts(own_s, own_l, at, z):
+            for e in cuts(own_s, own_l, at, z, CHUNK_LEAST, 1 << CHUNK_BITS, CHUNK_MOST):
                 found[xxhash.xxh3_64_intdigest(joined[s:e]) - (1 << 63)] = e - s
                 s = e
             at = z
@@ -111,25 +114,28 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def containments(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, container_id, containment); see the module."""
-    own = written(fingerprints(df, doc_id, text), "chunks")
-    ids = own.select("i", "fp")
-    one = ids.groupBy("i").agg(F.min("fp").alias("fp"))
+    own = fingerprints(df, doc_id, text)  # computed twice, as that is less than writing it
+    one = own.groupBy("i").agg(F.min(F.struct("fp", "total")).alias("x")).select("i", "x.fp", "x.total")
     heads = one.withColumn("head", F.min("i").over(Window.partitionBy("fp")))
     heads = written(heads, "classes")
-    first = own.join(heads.filter("i = head").select("i", "fp"), ["i", "fp"], "left_semi").dropDuplicates(["i"])
-    post = first.select("i", "total", F.explode(F.arrays_zip("ds", "ls")).alias("c")).select("i", "total", F.col("c.ds").alias("d"), F.col("c.ls").alias("len"))
+    firsts = heads.filter("i = head")
+    first = own.join(firsts.select("i", "fp"), ["i", "fp"], "left_semi").dropDuplicates(["i", "fp"])
+    post = first.select("i", F.explode(F.arrays_zip("ds", "ls")).alias("c")).select("i", F.col("c.ds").alias("d"), F.col("c.ls").alias("len"))
     # digests that two documents or more have; the rest of a document is what it has alone
-    post = written(post.withColumn("n", F.count("*").over(Window.partitionBy("d"))).filter("n > 1"), "postings")
+    post = post.withColumn("n", F.count("*").over(Window.partitionBy("d"))).filter("n > 1").join(firsts.select("i", "total"), "i")
     mine = Window.partitionBy("i")
     by = mine.orderBy("n", "d").rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.col("total") - F.sum("len").over(mine)
-    prefix = post.withColumn("seen", rest + F.coalesce(F.sum("len").over(by), F.lit(0))).filter(F.col("seen") <= F.lit(1 - threshold) * F.col("total"))
+    post = post.withColumn("have", F.sum("len").over(mine)).withColumn("seen", F.col("total") - F.col("have") + F.coalesce(F.sum("len").over(by), F.lit(0)))
+    post = written(post, "postings")
+    prefix = post.filter((F.col("total") - F.col("seen")) / F.col("total") >= threshold)
     blocks = F.expr(f"cast((n - 1) div {block} as int)")
-    a = prefix.select("d", F.col("i").alias("a"), F.explode(F.sequence(F.lit(0), blocks)).alias("s"))
-    b = post.select("d", F.col("i").alias("b"), F.pmod(F.xxhash64("i"), blocks + 1).cast("int").alias("s"))
-    pairs = a.join(b, ["d", "s"]).filter("a <> b").select("a", "b").distinct()
-    shared = pairs.join(post.select(F.col("i").alias("a"), "d", "len", "total"), "a").join(post.select(F.col("i").alias("b"), "d"), ["b", "d"])
-    found = shared.groupBy("a", "b").agg((F.sum("len") / F.max("total")).alias("c")).filter(F.col("c") >= threshold)
+    a = prefix.select("d", F.col("i").alias("a"), "total", F.explode(F.sequence(F.lit(0), blocks)).alias("s"))
+    b = post.select("d", F.col("i").alias("b"), (F.col("total") - F.col("seen")).alias("left"), F.pmod(F.xxhash64("i"), blocks + 1).cast("int").alias("s"))
+    # at the first chunk that the two share, what the container has from there on is enough to hold the threshold's share
+    pairs = a.join(b, ["d", "s"]).filter((F.col("a") != F.col("b")) & (F.col("left") / F.col("total") >= threshold)).select("a", "b").repartition("a").distinct()
+    shared = pairs.join(post.select(F.col("i").alias("a"), "d", "len"), "a").join(post.select(F.col("i").alias("b"), "d"), ["b", "d"])
+    found = shared.groupBy("a", "b").agg(F.sum("len").alias("len")).join(firsts.select(F.col("i").alias("a"), "total"), "a")
+    found = found.withColumn("c", F.col("len") / F.col("total")).filter(F.col("c") >= threshold)
     same = heads.filter("i <> head").select(F.col("i").alias("doc_id"), F.col("head").alias("container_id"), F.lit(1.0).alias("containment"))
     return found.select(F.col("a").alias("doc_id"), F.col("b").alias("container_id"), F.col("c").alias("containment")).unionByName(same)
 

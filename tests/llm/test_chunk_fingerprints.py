@@ -71,3 +71,23 @@ def test_gear_hash_is_a_rolling_one():
 
 def test_empty(make):
     assert C.containments(make([])).count() == 0
+
+
+def test_near_copies_at_several_edit_rates_are_found(make):
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(rng.choice(list("abcdefghiklmnoprstu"), n))
+    words = [letters(int(rng.integers(2, 10))) for _ in range(3000)]
+    rows, planted = [], {}
+    for k, every in enumerate((17, 20, 25, 30, 60)):
+        for g in range(20):
+            own = [str(w) for w in rng.choice(words, int(rng.integers(120, 400)))]
+            copy = [letters(6) if (j + g) % every == 0 else w for j, w in enumerate(own)]
+            i = 1000 * k + 10 * g
+            rows += [doc(i, " ".join(own)), doc(i + 1, " ".join(copy)), doc(i + 2, " ".join(str(w) for w in rng.choice(words, 200)))]
+            planted[i, i + 1] = every
+    got = {(r.doc_id, r.container_id) for r in C.containments(make(rows)).collect()}
+    found = {p for p in planted if p in got or p[::-1] in got}
+    for every in (20, 25, 30, 60):
+        assert all(p in found for p in planted if planted[p] == every), every
+    assert sum(p in found for p in planted if planted[p] == 17) >= 10  # word-3-gram Jaccard 0.7, the edge of what counts as a near copy
+    assert {(min(p), max(p)) for p in got} <= planted.keys()
