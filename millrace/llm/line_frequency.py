@@ -1,9 +1,11 @@
 """Quality rules: cross-document line frequency.
 
 Normalised lines are hashed with their host; a line's frequency is the number of distinct documents (by content, so exact
-copies count once) of the host that hold it. Lines above the limit, the larger of ``min_docs`` and ``share`` of the
-host's documents, are removed from all documents of the host. A document is rejected as depleted when nothing but
-blanks remains, or when less than ``keep_percent`` of its normalised characters remain.
+copies count once) of the host that hold it. Lines above the limit of ``min_docs`` documents are removed from all documents
+of the host; the limit is the same for hosts of all sizes, unless a ``share`` of the host's documents is given, which then
+counts where it is larger. A document is rejected as depleted when nothing but blanks remains, or when less than
+``keep_percent`` of its normalised characters remain. The SQL below has a share of 0.5 %: it gives the same rows as long as
+no host has more than 1,000 distinct documents, and keeps more lines of larger hosts.
 
 Plan: one Arrow pass gives (host, line hash, content hash), two shuffles of those 24-byte rows give the frequencies, and
 a second pass edits each text where it lies, so that no text is shuffled. The flagged hashes are broadcast while there are
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm._shared import batches, bounded_array, fresh, written
 
-MIN_DOCS, SHARE, KEEP_PERCENT, BROADCAST_KEYS = 5, 0.005, 30, 2_000_000
+MIN_DOCS, KEEP_PERCENT, BROADCAST_KEYS = 5, 30, 2_000_000
+SHARE = 0.005  # of the SQL only
 
 
 def _signed(h: int) -> int:
@@ -63,7 +66,7 @@ def _count_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def flagged_lines(df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def flagged_lines(df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = 0.0) -> DataFrame:
     """The keys (one BIGINT column ``k``, host and line hashed together) of the lines above their host's limit."""
     seen = df.select(F.col(text).alias("t"), F.col(host).cast("string").alias("h")).mapInArrow(_count_pass, "h string, k long, c long")
     counts = seen.distinct().groupBy("h", "k").agg(F.count("*").alias("n"))
@@ -119,7 +122,7 @@ def _editor(found, keep_percent: int, at: int, host_at: int, n_at: int | None, r
 
 
 def drop_frequent_lines(
-    df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
+    df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = 0.0,
     keep_percent: int = KEEP_PERCENT, broadcast_keys: int = BROADCAST_KEYS, length: str = "n_chars", with_removed: bool = False,
 ) -> DataFrame:
     """df's rows that are not depleted, with the flagged lines removed (see the module); ``with_removed`` adds

@@ -53,6 +53,22 @@ def test_clean_documents_stay_and_copies_count_once(make):
     assert L.drop_frequent_lines(make(rows)).count() == 80
 
 
+@pytest.mark.parametrize("broadcast_keys", [1000, 0])
+def test_the_limit_does_not_grow_with_the_host(make, broadcast_keys):
+    rows = []
+    for host, docs in (("small", 20), ("large", 3000)):
+        for i in range(docs):
+            lines = [f"text number {i} of the host {host}", f"and more of it, {i * i}"]
+            lines += ["Read more  about our offers"] if i < 6 else []
+            lines += ["a line of five documents"] if 6 <= i < 11 else []
+            rows.append(doc(len(rows), "\n".join(lines), source=host))
+    got = L.drop_frequent_lines(make(rows), broadcast_keys=broadcast_keys).collect()
+    assert len(got) == len(rows)
+    assert not any("Read more" in r.text for r in got)
+    assert sum("five documents" in r.text for r in got) == 10
+    assert sorted(repr((r.doc_id, r.lang, r.n_chars, r.source, r.text)) for r in got) == brute(rows, L.MIN_DOCS, 0, L.KEEP_PERCENT)
+
+
 def test_empty(make):
     assert L.drop_frequent_lines(make([])).count() == 0
 
