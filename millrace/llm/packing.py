@@ -8,8 +8,10 @@ among the open bins where it fits under every capacity, to the one that the rule
 - ``norm``: the smallest weighted Euclidean norm of the residual that would be left.
 
 Ties go to the oldest bin. Best fit is sequential, so pieces are split by a hash of the document's id into groups of about
-``group_pieces``, each packed by itself by one task; only ids and counts are shuffled. The waste that groups add is at
-most one poorly filled bin each, so it does not grow with their number relative to the data.
+``group_pieces``, each packed by itself by one task; only ids and counts are shuffled. What a group leaves in bins that are
+filled to less than ``FULL`` of every capacity, about one bin a group, is packed once more together with that of as many
+groups as one task takes, and stays as it was where that saves no bin. So above ``group_pieces`` the result is not best fit
+over the table, but close to it; the README has the numbers of bins.
 
 Tokens are runs of non-blanks. Cases: NULL and blank texts have no pieces. Documents without id are grouped by a hash of
 their text and keep a NULL id. Repeated rows are packed each for itself. An empty table gives an empty table. Other
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import written
 
 TOKENS, DOCS, COST_SHARE, RULE, WEIGHTS, GROUP_PIECES, SEED = 4096, 24, 0.75, "norm", (1.0, 0.25, 0.5), 4096, 37
+FULL = 0.9
 SCHEMA = "bin_id string, slot long, doc_id long, piece long, first_token long, n_tokens long"
 
 
@@ -87,14 +90,30 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: int
     cut = cut.withColumn("first", F.col("piece") * most).withColumn("n", F.least(F.lit(most), F.col("n") - F.col("first")).cast("long"))
     cut = cut.withColumn("g", F.pmod("h", F.lit(groups)))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         pdf = pdf.sort_values(["n", "h", "d", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        b = best_fit(pdf["n"].to_numpy(np.int64), tokens, docs, cost, rule, weights)
-        slot = pd.Series(b).groupby(b).cumcount()
-        return pd.DataFrame({"bin_id": str(pdf["g"].iloc[0]) + "-" + pd.Series(b).astype(str), "slot": slot, "doc_id": pdf["d"].astype("Int64"),
+        return pdf, best_fit(pdf["n"].to_numpy(np.int64), tokens, docs, cost, rule, weights)
+
+    def rows(pdf: pd.DataFrame, b: np.ndarray, prefix: str) -> pd.DataFrame:
+        return pd.DataFrame({"bin_id": prefix + str(pdf["g"].iloc[0]) + "-" + pd.Series(b).astype(str), "slot": pd.Series(b).groupby(b).cumcount(), "doc_id": pdf["d"].astype("Int64"),
                              "piece": pdf["piece"], "first_token": pdf["first"], "n_tokens": pdf["n"]})
 
-    return cut.select("g", "d", "h", "piece", "first", "n").groupBy("g").applyInPandas(one, SCHEMA)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, b = fit(pdf)
+        n = pdf["n"].to_numpy(float)
+        poor = (np.bincount(b, n) < FULL * tokens) & (np.bincount(b) < FULL * docs) & (np.bincount(b, n * n) < FULL * cost)
+        return rows(pdf, b, "").assign(g=pdf["g"], h=pdf["h"], poor=poor[b])
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        new, b = fit(pdf.rename(columns={"doc_id": "d", "first_token": "first", "n_tokens": "n"}))
+        return rows(new, b, "r") if b.max() + 1 < pdf["bin_id"].nunique() else pdf[["bin_id", "slot", "doc_id", "piece", "first_token", "n_tokens"]].astype({"doc_id": "Int64"})
+
+    out = cut.select("g", "d", "h", "piece", "first", "n").groupBy("g").applyInPandas(one, f"{SCHEMA}, g long, h long, poor boolean")
+    if groups == 1:
+        return out.drop("g", "h", "poor")
+    out = written(out, "bins")
+    left = out.filter("poor").withColumn("g", F.expr(f"g div {max(2, group_pieces // docs)}"))
+    return out.filter("not poor").drop("g", "h", "poor").unionByName(left.drop("poor").groupBy("g").applyInPandas(again, SCHEMA))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -55,5 +55,18 @@ def test_every_token_once_and_no_capacity_exceeded(make, group):
     assert len(pieces[6]) >= 2 and None in pieces
 
 
+def test_poorly_filled_bins_of_the_groups_are_packed_together(make):
+    rows = [doc(i, "w " * (20 + i * 37 % 60)) for i in range(600)]
+    bins = lambda group: {r.bin_id: 0 for r in P.pack(make(rows), tokens=1000, docs=50, cost_share=1.0, group_pieces=group).collect()}
+    out = P.pack(make(rows), tokens=1000, docs=50, cost_share=1.0, group_pieces=30).collect()
+    used = defaultdict(int)
+    for r in out:
+        used[r.bin_id] += r.n_tokens
+    assert len(out) == len({(r.doc_id, r.piece) for r in out}) == 600 and max(used.values()) <= 1000
+    assert sum(used.values()) == sum(20 + i * 37 % 60 for i in range(600))
+    assert len(used) <= len(bins(10_000)) * 1.25
+    assert sum(n < 500 for n in used.values()) <= 10
+
+
 def test_empty(make):
     assert P.pack(make([])).count() == 0
