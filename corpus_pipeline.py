@@ -36,7 +36,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxic), ("near duplicates", near_copies), ("mixing", mixture), ("packing", packed)]
-#: The classifier, the fingerprints and the packing have no SQL; tests hold the stages against brute force.
+#: The classifier, the fingerprints and the packing have no SQL. The operators have tests of their own; no test runs the stages one after another.
 ORACLE_SQL = None
 
 
