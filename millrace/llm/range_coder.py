@@ -1,23 +1,31 @@
 """Token-ID / binary output: an adaptive context-mixing range coder.
 
-Token ids are coded in blocks, each with models and coder of its own, so a block can be decoded alone and a damaged one
-harms no other; a CRC-32 of the ids shows damage. Within a block an id is four base-16 digits. Three predictions are mixed
-for each digit: order 0, an adaptive distribution of the digit given those before it; order 1 and order 2, the id last seen
-after the previous one or two ids, which puts its weight on one digit as long as its earlier digits were right. The weights
-are learned: for each order, digit place and confidence (how often the slot was right), the rate of hits. The mixture
-drives a carry-less range coder with 64-bit low and 16-bit output.
+Token ids are coded in blocks, each with a model and coder of its own, so a block can be decoded alone and a damaged one
+harms no other; a CRC-32 of the ids shows damage. An id is one step of the range coder, whose interval comes from a mixture
+of three predictions:
 
-Python is too slow to code id by id, but blocks are independent: thousands of blocks advance in lockstep, and each step is a
-few dozen array operations over all of them. Encoder and decoder share the model's code.
+- order 0: the counts of the block's ids so far, over a flat start that leaves no id without a chance;
+- order 1 and order 2: the id that came last after the same one id or two ids, each with a confidence, the number of times
+  in a row that this context's prediction was right.
+
+The mixture's weights are learned: for each state (both confidences and whether the two agree) the block's hits so far give
+the weight of each prediction, and order 0 has the rest. Counts and hits enter at fixed places of a block, after 32, 64, 128
+and 256 ids and then every 256. So what the encoder's model knows at each place follows from sorted contexts and running sums
+of the whole block, a few array operations an id, and only the coder itself goes id by id, with all blocks of a task in
+lockstep. The coder is a carry-less range coder with 64-bit low and 16-bit output. The decoder is written apart from the
+encoder, id by id with dictionaries.
 
 A document's ids may span blocks, and a block holds parts of many documents: ``doc_ids`` and ``counts`` say which ids are
-whose. Cases: NULL texts are not coded, and empty ones have a count of 0. A NULL id stays NULL in ``doc_ids``. Repeated rows
-are coded each for itself. Ids up to 65,535 fit. An empty table gives no blocks. Other columns are not used.
+whose. Blocks are filled from one partition after another, so their number depends on the partitioning (each partition's
+last block may be short); the ids that they hold do not. Cases: NULL texts are not coded, and empty ones have a count of 0.
+A NULL id stays NULL in ``doc_ids``. Repeated rows are coded each for itself. Ids up to 65,535 fit. An empty table gives no
+blocks. Other columns are not used. The document id is an integer, or a string that is one.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,191 +36,217 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import batches
 from millrace.llm.token_files import FILE, FOLDER, encoding
 
-BLOCK, LANES = 16_384, 512
-ROWS3, SLOTS1, SLOTS2 = 512, 4096, 8192  # order-0 rows for the last digit; slots of orders 1 and 2; all of a block
-TOTAL, FLOOR = 15, 4  # bits of the coder's frequency scale; the least frequency of a digit
+BLOCK, LANES = 16_384, 1024
+VOCABULARY, LONGEST = 1 << 16, 1 << 18  # ids, and the most of them in a block
+TOTAL = 27  # bits of the coder's frequency scale
+ORDERS = (1 << TOTAL) // 64 * 63  # what orders 1 and 2 can get of it
+GAIN = 64  # weight of a count against the flat start's 1 for each id
+STATES = 128  # two confidences of 0 to 7, and agreement
 SCHEMA = "doc_ids array<long>, counts array<int>, n_tokens int, crc long, payload binary"
-#: What a row of cumulative frequencies (of 2^14) moves to when a digit is seen.
-_TARGET = (16384 * (np.arange(17) > np.arange(16)[:, None])).astype(np.int16)
-_START = (np.arange(17) * 1024).astype(np.int16)
-
-
-class Model:
-    """The predictions of all lanes at one place of their blocks."""
-
-    def __init__(self, lanes: int):
-        self.n, self.lane = lanes, np.arange(lanes)
-        self.rows = 1 + 16 + 256 + ROWS3
-        self.table = np.tile(_START, (lanes * self.rows, 1))
-        self.flat = self.table.reshape(-1)
-        self.uses = np.zeros(lanes * self.rows, np.int16)
-        self.base = self.lane * self.rows
-        self.slots = [np.zeros(lanes * k, np.int32) for k in (SLOTS1, SLOTS2)]
-        self.rate = [np.full(lanes * 4 * 8, p, np.int32) for p in (12000, 20000)]  # hit rates, of 65536
-        self.rate_base = self.lane * 32
-        self.slot_base = [self.lane * k for k in (SLOTS1, SLOTS2)]
-        self.prev = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-
-    def begin(self) -> None:
-        """Looks up what orders 1 and 2 predict for the next id."""
-        p1, p2 = self.prev
-        self.at = [self.slot_base[0] + (((p1 * 40503) >> 3) & (SLOTS1 - 1)), self.slot_base[1] + (((p1 * 2654435761 + p2 * 2654461891) >> 11) & (SLOTS2 - 1))]
-        found = [t.take(i) for t, i in zip(self.slots, self.at)]
-        self.guess = [f >> 3 for f in found]
-        self.conf = [f & 7 for f in found]
-        self.live = [(c > 0).astype(np.int32) for c in self.conf]  # 1 while an order's digits were all right
-        self.cells = [self.rate_base + c for c in self.conf]
-        self.sofar = np.zeros(self.n, np.int64)
-
-    def digit(self, k: int) -> None:
-        """The mixture for digit k: weights and guessed digits."""
-        d = self.sofar
-        node = 0 if k == 0 else 1 + d if k == 1 else 17 + d if k == 2 else 273 + (((d * 40503) >> 5) & (ROWS3 - 1))
-        self.row, shift = self.base + node, 12 - 4 * k
-        self.cell0 = self.row * 17
-        self.want = [(g >> shift) & 15 for g in self.guess]
-        self.cell = [c + 8 * k for c in self.cells]
-        self.hits = [r.take(c) for r, c in zip(self.rate, self.cell)]
-        w2 = ((self.hits[1] * self.live[1]) >> 8) * 124 >> 8
-        w1 = ((self.hits[0] * self.live[0]) >> 8) * (31744 - w2) >> 8
-        self.w = [w1, w2]
-        self.t0 = (1 << TOTAL) - 16 * FLOOR - w1 - w2
-
-    def low(self, s: np.ndarray) -> np.ndarray:
-        """The mixture's cumulative frequency below digit s (0 to 16)."""
-        c = self.flat.take(self.cell0 + s).astype(np.int32)
-        return s * FLOOR + ((c * self.t0) >> 14) + self.w[0] * (self.want[0] < s) + self.w[1] * (self.want[1] < s)
-
-    def span(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a = self.low(s)
-        return a, self.low(s + 1) - a
-
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The digit whose span holds v."""
-        c, k = self.table.take(self.row, axis=0)[:, :16].astype(np.int32), np.arange(16)
-        low = k * FLOOR + ((c * self.t0[:, None]) >> 14) + self.w[0][:, None] * (self.want[0][:, None] < k) + self.w[1][:, None] * (self.want[1][:, None] < k)
-        return (low <= v[:, None]).sum(axis=1) - 1
-
-    def learn(self, s: np.ndarray) -> None:
-        """Takes in that the digit is s."""
-        c, uses = self.table.take(self.row, axis=0), self.uses.take(self.row)
-        step = np.minimum((uses >> 1) + 2, 6)
-        move = _TARGET.take(s, axis=0)
-        move -= c
-        move >>= step[:, None]
-        c += move
-        self.table[self.row] = c
-        self.uses[self.row] = np.minimum(uses + 1, 8)
-        for o in (0, 1):
-            hit = self.want[o] == s
-            self.rate[o][self.cell[o]] = self.hits[o] + (((hit * 65000 - self.hits[o]) >> 4) * self.live[o])
-            self.live[o] *= hit
-        self.sofar = (self.sofar << 4) | s
-
-    def end(self, ids: np.ndarray) -> None:
-        """Stores what followed the last ids."""
-        for o in (0, 1):
-            kept = np.where(self.live[o], np.minimum(self.conf[o] + 1, 7), self.conf[o] >> 1)
-            self.slots[o][self.at[o]] = np.where(kept > 0, (self.guess[o] << 3) | kept, (ids << 3) | 1)
-        self.prev = [ids, self.prev[0]]
+
+
+def prior() -> tuple[np.ndarray, np.ndarray]:
+    """Of 64 imagined places of each state, how often order 2 and order 1 were right; as order 2 if they agree."""
+    rate = np.array([0, 24, 36, 44, 50, 54, 57, 60])
+    s = np.arange(STATES)
+    c2, c1, agree = s >> 4, (s >> 1) & 7, s & 1
+    first = np.where(agree, np.maximum(rate[c2], rate[c1]), rate[c2])
+    return first, np.where(agree, 0, np.where(c2 == 0, rate[c1], (64 - first) * rate[c1] // 96))
+
+
+FIRST, SECOND = prior()
+
+
+def places(n: int) -> list[int]:
+    """Where counts and hits enter: the starts of a block's segments."""
+    out, step = [0], 32
+    while out[-1] + step < n:
+        out.append(out[-1] + step)
+        step = min(256, out[-1])
+    return out
+
+
+def gain(block: int) -> int:
+    """What a count weighs: GAIN, or less where a block is so long that the flat start would have no room."""
+    return max(1, min(GAIN, (1 << 20) // max(1, block)))
+
+
+def _guesses(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key: sorted (context << 18 | place of the context's last id). For the places whose context was there before:
+    (place, what followed last time, confidence)."""
+    follows = (key & (LONGEST - 1)) + 1
+    if len(follows) and follows.max() == len(ids):
+        inside = follows < len(ids)
+        key, follows = key[inside], follows[inside]
+    came, i = ids[follows], np.arange(len(key))
+    same = (key[1:] ^ key[:-1]) < LONGEST
+    hit = np.zeros(len(key), bool)
+    hit[1:] = same & (came[1:] == came[:-1])
+    missed = np.maximum.accumulate(np.where(hit, 0, i))  # the last place so far, in the table's order, that was no hit
+    last = np.flatnonzero(same)
+    return follows[last + 1], came[last], np.minimum(last - missed[last], 6) + 1
+
+
+def intervals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, width) of each id's interval of 2^TOTAL, as the model has it at the id's place."""
+    n = len(ids)
+    if n > LONGEST:
+        raise ValueError(f"a block has at most {LONGEST} ids")
+    if not n:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    x, t, g, starts = ids.astype(np.int64), np.arange(n), gain(n), np.array(places(n))
+    k = len(starts)
+    seg = np.repeat(np.arange(k), np.diff(np.append(starts, n)))
+    one = np.sort((x << 18) | t)
+    new = np.ones(n, bool)
+    new[1:] = (one[1:] ^ one[:-1]) >= LONGEST
+    rank = np.empty(n, np.int64)
+    rank[one & (LONGEST - 1)] = np.cumsum(new) - 1
+    kinds = int(new.sum())
+    # order 0: how many smaller ids, and how many up to the id itself, there were at its segment's start
+    ranked = np.zeros((k + 1, kinds + 1), np.int32)
+    ranked[1:, 1:] = np.bincount(seg * kinds + rank, minlength=k * kinds).reshape(k, kinds)
+    np.cumsum(ranked, axis=0, out=ranked)
+    np.cumsum(ranked, axis=1, out=ranked)
+    cell, ranked = seg * (kinds + 1) + rank, ranked.ravel()
+    below = ranked[cell].astype(np.int64)
+    width0, low0 = 1 + g * (ranked[cell + 1] - below), x + g * below
+    # orders 1 and 2
+    guess1, guess2, sure1, sure2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at, what, sure = _guesses(one, x)
+    guess1[at], sure1[at] = what, sure
+    at, what, sure = _guesses(np.sort((((x[:-1] << 16) | x[1:]) << 18) | t[1:]), x)
+    guess2[at], sure2[at] = what, sure
+    agree = (guess1 == guess2) & (sure1 > 0) & (sure2 > 0)
+    state = seg * STATES + ((sure2 << 4) | (sure1 << 1) | agree)
+    right2, right1 = (guess2 == x) & (sure2 > 0), (guess1 == x) & (sure1 > 0) & ~agree
+
+    def earlier(which: np.ndarray) -> np.ndarray:
+        c = np.bincount(which, minlength=k * STATES).reshape(k, STATES)
+        return np.cumsum(c, axis=0) - c
+
+    seen = 64 + 4 * earlier(state)
+    weight2 = (ORDERS * (FIRST + 4 * earlier(state[right2])) // seen).ravel()[state]
+    weight1 = (ORDERS * (SECOND + 4 * earlier(state[right1])) // seen).ravel()[state]
+    rest, total0 = (1 << TOTAL) - weight1 - weight2, (VOCABULARY + g * starts)[seg]
+    low = low0 * rest // total0
+    width = (low0 + width0) * rest // total0 - low
+    low += weight1 * (guess1 < x) + weight2 * (guess2 < x)
+    width += weight1 * right1 + weight2 * right2
+    return low.astype(np.uint32), width.astype(np.uint32)
 
 
 _U = np.uint64
-_FULL, _BOT, _TOP = _U(2**64 - 1), _U(1 << 32), _U(1 << 48)
+_FULL, _BOT, _TOP, _LOW = _U(2**64 - 1), _U(1 << 32), _U(1 << 48), _U((1 << 32) - 1)
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], lanes: int = LANES) -> list[bytes]:
     """The coded form of each block of ids."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     out: list[bytes] = [b""] * len(blocks)
-    for a in range(0, len(order), LANES):
-        part = order[a : a + LANES]
+    for a in range(0, len(order), lanes):
+        part = order[a : a + lanes]
         for i, p in zip(part, _encode_lanes([blocks[i] for i in part])):
             out[i] = p
     return out
 
 
-def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    """Blocks by falling length, all at once; a lane that has ended goes on with zeros that nobody keeps."""
+def _encode_lanes(blocks: list[np.ndarray], step: int = 128) -> list[bytes]:
+    """Blocks by falling length, all at once."""
     n, size = len(blocks), np.array([len(b) for b in blocks])
-    longest = int(size[0]) if n else 0
-    ids = np.zeros((longest, n), np.int64)
+    longest = int(size[0])
+    lows, widths = np.zeros((n, longest), np.uint32), np.zeros((n, longest), np.uint32)
     for j, b in enumerate(blocks):
-        ids[: len(b), j] = b
-    m = Model(n)
+        lows[j, : len(b)], widths[j, : len(b)] = intervals(b)
     low, rng = np.zeros(n, _U), np.full(n, _FULL, _U)
-    words, pos, lane = np.zeros((n, longest * 5 + 8), np.uint16), np.zeros(n, np.int64), np.arange(n)
-    finish = [b""] * n
-    done = n  # lanes from here on have been closed
-    for t in range(longest + 1):
-        while done and size[done - 1] == t:
-            done -= 1
-            w = words[done, : pos[done]].tolist() + [int(low[done] >> _U(48 - 16 * k)) & 0xFFFF for k in range(4)]
-            finish[done] = np.array(w, ">u2").tobytes()
-        if not done:
-            break
-        x = ids[t]
-        m.begin()
-        for k in range(4):
-            m.digit(k)
-            s = (x >> (12 - 4 * k)) & 15
-            a, f = m.span(s)
-            r = rng >> _U(TOTAL)
-            low += r * a.astype(_U)
-            rng = r * f.astype(_U)
-            small = np.flatnonzero(rng < _BOT)
+    words, pos = np.zeros((n, longest * 3 // 4 + 16), np.uint16), np.zeros(n, np.int64)
+    for t0 in range(0, longest, step):
+        most = int(pos.max()) + 6 * step + 8  # four words a step are the most, and the decoder's start
+        if most > words.shape[1]:
+            words = np.concatenate([words, np.zeros((n, max(most - words.shape[1], longest // 4)), np.uint16)], axis=1)
+        a, f = (np.ascontiguousarray(m[:, t0 : t0 + step].T).astype(_U) for m in (lows, widths))
+        for t in range(a.shape[0]):
+            live = int(np.searchsorted(-size, -(t0 + t)))  # the lanes whose block goes on
+            lo, ra, r = low[:live], rng[:live], rng[:live] >> _U(TOTAL)
+            lo += r * a[t, :live]
+            np.multiply(r, f[t, :live], out=ra)
+            small = np.flatnonzero(ra < _BOT)
             while len(small):
-                lo, ra = low[small], rng[small]
-                straddles = (lo ^ (lo + ra)) >= _TOP
-                ra = np.where(straddles, (~lo + _U(1)) & (_BOT - _U(1)), ra)
-                words[small, pos[small]] = (lo >> _U(48)).astype(np.uint16)
-                pos[small] += 1
-                low[small], rng[small] = lo << _U(16), ra << _U(16)
-                small = small[rng[small] < _BOT]
-            m.learn(s)
-        m.end(x)
-    return finish
+                x, y = low[small], rng[small]
+                y = np.where((x ^ (x + y)) >= _TOP, (~x + _U(1)) & _LOW, y)
+                at = pos[small]
+                words[small, at] = x >> _U(48)
+                pos[small] = at + 1
+                y <<= _U(16)
+                low[small], rng[small] = x << _U(16), y
+                small = small[y < _BOT]
+    ends = (low[:, None] >> _U(48) - np.arange(0, 64, 16, dtype=_U)).astype(np.uint16)
+    return [np.concatenate([words[j, : pos[j]], ends[j]]).astype(">u2").tobytes() if size[j] else b"" for j in range(n)]
+
+
+def decode_block(payload: bytes, n: int) -> np.ndarray:
+    """The n ids of one block."""
+    g, full, low_mask = gain(n), (1 << 64) - 1, (1 << 32) - 1
+    out: list[int] = []
+    starts, count = set(places(n)), np.zeros(VOCABULARY, np.int64)
+    cum: list[int] = []
+    followed: tuple[dict, dict] = ({}, {})  # context to [what came last, times in a row that it was right]
+    seen, right = [64] * STATES, (FIRST.tolist(), SECOND.tolist())
+    now_seen, now_right, waiting = list(seen), (list(right[0]), list(right[1])), []
+    low, rng, code, at = 0, full, int.from_bytes(payload[:8].ljust(8, b"\0"), "big"), 8
+    for t in range(n):
+        if t in starts:
+            np.add.at(count, waiting, 1)
+            waiting = []
+            cum = np.concatenate([[0], np.cumsum(1 + g * count)]).tolist()
+            now_seen, now_right = list(seen), (list(right[0]), list(right[1]))
+        contexts = (out[-1] if t else None, (out[-2], out[-1]) if t > 1 else None)
+        found1, found2 = followed[0].get(contexts[0]), followed[1].get(contexts[1])
+        c1, c2 = (0 if e is None else min(e[1], 6) + 1 for e in (found1, found2))
+        g1, g2 = (0 if e is None else e[0] for e in (found1, found2))
+        agree = c1 > 0 and c2 > 0 and g1 == g2
+        state = c2 << 4 | c1 << 1 | agree
+        w2, w1 = ORDERS * now_right[0][state] // now_seen[state], ORDERS * now_right[1][state] // now_seen[state]
+        rest, total0 = (1 << TOTAL) - w1 - w2, cum[-1]
+        r = rng >> TOTAL
+        v = min(((code - low) & full) // r, (1 << TOTAL) - 1)
+        # v without what orders 1 and 2 have below it; x: the id if it is a guess
+        x, added = None, 0
+        for guess, w in sorted([(g1, w1), (g2, w2)]):
+            if not w:
+                continue
+            a = cum[guess] * rest // total0 + added
+            if v < a:
+                break
+            if x == guess or v < a + (cum[guess + 1] * rest // total0 + added - a) + w:
+                x = guess
+                break
+            added += w
+        if x is None:
+            x = bisect_right(cum, ((v - added + 1) * total0 - 1) // rest) - 1
+        a = cum[x] * rest // total0
+        f = cum[x + 1] * rest // total0 - a + w1 * (g1 == x) + w2 * (g2 == x)
+        a += w1 * (g1 < x) + w2 * (g2 < x)
+        low, rng = (low + r * a) & full, r * f
+        while rng < 1 << 32:
+            if low ^ ((low + rng) & full) >= 1 << 48:
+                rng = -low & low_mask
+            code = (code << 16 | int.from_bytes(payload[at : at + 2].ljust(2, b"\0"), "big")) & full
+            at, low, rng = at + 2, (low << 16) & full, rng << 16
+        seen[state] += 4
+        right[0][state] += 4 * (c2 > 0 and g2 == x)
+        right[1][state] += 4 * (c1 > 0 and g1 == x and not agree)
+        for table, context, e in zip(followed, contexts, (found1, found2)):
+            if context is not None:
+                table[context] = [x, e[1] + 1 if e is not None and e[0] == x else 0]
+        out.append(x)
+        waiting.append(x)
+    return np.array(out, np.int64)
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of blocks, all decoded at once; each can as well be decoded alone."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(payloads)
-    order = sorted(range(len(payloads)), key=lambda i: -sizes[i])
-    for a in range(0, len(order), LANES):
-        part = order[a : a + LANES]
-        n, longest = len(part), sizes[part[0]]
-        most = max(len(payloads[i]) for i in part) // 2
-        words = np.zeros((n, most + longest * 5 + 16), _U)
-        for j, i in enumerate(part):
-            w = np.frombuffer(payloads[i], ">u2")
-            words[j, : len(w)] = w
-        ids, m = np.zeros((longest, n), np.int64), Model(n)
-        low, rng, pos = np.zeros(n, _U), np.full(n, _FULL, _U), np.full(n, 4, np.int64)
-        code = (words[:, 0] << _U(48)) | (words[:, 1] << _U(32)) | (words[:, 2] << _U(16)) | words[:, 3]
-        for t in range(longest):
-            m.begin()
-            for k in range(4):
-                m.digit(k)
-                r = rng >> _U(TOTAL)
-                s = m.find(np.minimum((code - low) // r, _U((1 << TOTAL) - 1)).astype(np.int64))
-                a_, f = m.span(s)
-                low += r * a_.astype(_U)
-                rng = r * f.astype(_U)
-                small = np.flatnonzero(rng < _BOT)
-                while len(small):
-                    lo, ra = low[small], rng[small]
-                    straddles = (lo ^ (lo + ra)) >= _TOP
-                    ra = np.where(straddles, (~lo + _U(1)) & (_BOT - _U(1)), ra)
-                    code[small] = (code[small] << _U(16)) | words[small, np.minimum(pos[small], words.shape[1] - 1)]
-                    pos[small] += 1
-                    low[small], rng[small] = lo << _U(16), ra << _U(16)
-                    small = small[rng[small] < _BOT]
-                m.learn(s)
-            ids[t] = m.sofar
-            m.end(ids[t])
-        for j, i in enumerate(part):
-            out[i] = ids[: sizes[i], j]
-    return out
+    """The ids of blocks; each is decoded alone."""
+    return [decode_block(p, n) for p, n in zip(payloads, sizes)]
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -254,7 +288,7 @@ def _coder(block: int, lanes: int, folder: str, file: str):
                 owners.append(([d for d, _ in left], [0] * len(left)))
                 left = []
             if blocks:
-                coded = encode_blocks(blocks)
+                coded = encode_blocks(blocks, lanes)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([o[0] for o in owners], pa.list_(pa.int64())), pa.array([o[1] for o in owners], pa.list_(pa.int32())),
                     pa.array([len(x) for x in blocks], pa.int32()), pa.array([checksum(x) for x in blocks], pa.int64()), pa.array(coded, pa.binary()),
@@ -265,7 +299,7 @@ def _coder(block: int, lanes: int, folder: str, file: str):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t is None:
                     continue
-                x = np.array(enc.encode_ordinary(t), np.uint16)
+                x = enc.encode_to_numpy(t, disallowed_special=()).astype(np.uint16)
                 ids.append(x)
                 whose.append((i, len(x)))
                 held += len(x)
