@@ -7,37 +7,45 @@ of about 32 bytes, a few words, leave a near copy most of its chunks when one wo
 fingerprint is the set of its chunks' 64-bit digests, each with its length. The containment of A in B is the length of A's
 chunks that B has too, over the length of all of A's chunks.
 
-The result holds every pair with containment of at least ``threshold``, for documents with different fingerprints. Documents
-with equal fingerprints form a class: its members are linked to its smallest id with containment 1, and the class appears in
-other pairs by that id, so thousands of copies give thousands of rows.
-
-Candidates are exact (prefix filtering): if A is contained in B to the threshold, B holds at least one of A's rarest chunks,
-those that make up just over 1 - threshold of A. Chunks that one document alone has need no look-up, so most documents drop
-out here, and a passage that thousands share is looked up only for documents that consist of it. The chunks of a digest are
-joined in blocks, so that no task gets all pairs of a common one.
-
-Cases: NULL and blank texts have no chunks and are in no pair. Documents without id can't be named and are left out. Of rows
-with the same id one counts, that with the smallest fingerprint hash. Texts shorter than the least size are one chunk. An
-empty table gives an empty table. Other columns are not used.
+The result is one row a document: its class (the documents with the same fingerprint, named by their smallest id) and their
+number, how many other classes contain it to at least ``threshold``, and the one that does so most (ties: the smallest id).
+
+Plan, exact at every size:
+
+1. Classes are found from (id, fingerprint hash) rows. All further work is on classes, so thousands of copies count once.
+2. Digests are brought together in cells, packed arrays of a few thousand, to find those that two classes or more have. What
+   comes out is the shared part of each class's set, sorted by number of holders. A digest that more than ``common`` classes
+   have is common; one that is so within a few thousand documents already doesn't go to its cell at all, so a passage that
+   a third of all documents hold doesn't meet in one task.
+3. Pairs by rare digests (prefix filtering): if A is contained in B to the threshold and they share a rare digest, they share
+   one among the first that make up just over 1 - threshold of A. A rare digest has ``common`` holders at most.
+4. Pairs by common digests alone are never listed by document. Documents with equal sets of common digests are alike to
+   them, so sets are joined with sets, in blocks, and documents take the number of a set's holders from there.
+
+Cases: NULL and blank texts have no chunks; they have no class and no containers. Documents without id can't be named and are
+left out. Each row counts by itself, so an id with two texts has a row for each. Texts shorter than the least size are one
+chunk. An empty table gives an empty table. Other columns are not used. The id is an integer, or a string that is one.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm._shared import batches, written
 
-LEAST, AVERAGE_BITS, MOST, THRESHOLD, BLOCK = 32, 7, 512, 0.4, 512
+THRESHOLD, COMMON, BLOCK = 0.4, 64, 512
 #: Of a document's chunks: least and greatest size, bits of the average one, and the bytes that decide a cut (at most the least size).
 CHUNK_LEAST, CHUNK_BITS, CHUNK_MOST, WINDOW = 8, 5, 128, 8
+#: Digests that a map task packs at a time, and those that a cell is to have in all.
+PACKED, CELL = 400_000, 1_000_000
 GEAR = np.random.default_rng(43).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -53,7 +61,7 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(strict: list[int], loose: list[int], a: int, z: int, least: int = LEAST, average: int = 1 << AVERAGE_BITS, most: int = MOST) -> list[int]:
+def cuts(strict: list[int], loose: list[int], a: int, z: int, least: int = CHUNK_LEAST, average: int = 1 << CHUNK_BITS, most: int = CHUNK_MOST) -> list[int]:
     """Ends of the chunks of bytes a to z; strict and loose are the places after which the hash allows a cut."""
     out, s = [], a
     while z - s > least:
@@ -86,7 +94,7 @@ def chunk_sets(texts: list[str | None]) -> list[dict[int, int]]:
             z, i, j = at + len(d), bisect_left(loose, at + CHUNK_LEAST), bisect_left(strict, at + CHUNK_LEAST)
             own_l, own_s = loose[i : bisect_left(loose, z)], strict[j : bisect_left(strict, z)]
             s = at
-            for e in cuts(own_s, own_l, at, z, CHUNK_LEAST, 1 << CHUNK_BITS, CHUNK_MOST):
+            for e in cuts(own_s, own_l, at, z):
                 found[xxhash.xxh3_64_intdigest(joined[s:e]) - (1 << 63)] = e - s
                 s = e
             at = z
@@ -94,52 +102,248 @@ def chunk_sets(texts: list[str | None]) -> list[dict[int, int]]:
     return out
 
 
-def _chunk_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def needed(total: int, threshold: float) -> int:
+    """The length that a container must share with a document of this one."""
+    return max(1, ceil(total * threshold - 1e-9))
+
+
+def _class_hash(d: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(d.tobytes()) - (1 << 63)
+
+
+def _class_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it, 4 << 20, column=1):
-        rows: tuple[list, ...] = ([], [], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [])
         for i, s in zip(b.column(0).to_pylist(), chunk_sets(b.column(1).to_pylist())):
-            if s and i is not None:
+            if i is not None:
                 d = np.array(sorted(s), np.int64)
-                for o, v in zip(rows, (i, xxhash.xxh3_64_intdigest(d.tobytes()) - (1 << 63), sum(s.values()), d, [s[x] for x in d.tolist()])):
+                for o, v in zip(rows, (i, _class_hash(d) if s else None, sum(s.values()), len(s))):
+                    o.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in rows], ["i", "fp", "total", "n"])
+
+
+def _packer(cells: int, common: int):
+    """(id, text) to cells: digests and lengths document by document, with each document's class, total and number of
+    digests; ``marks`` are digests that are common already here. Those of a cell >= ``cells`` are all common."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            fps = np.fromiter(held, np.int64, len(held))
+            totals = np.fromiter((x[2] for x in held.values()), np.int32, len(held))
+            d, n = np.concatenate([x[0] for x in held.values()]), np.concatenate([x[1] for x in held.values()])
+            row = np.repeat(np.arange(len(held)), [len(x[0]) for x in held.values()])
+            kinds, inverse, times = np.unique(d, return_inverse=True, return_counts=True)
+            here = np.minimum((kinds.view(np.uint64) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32), np.uint64(cells - 1)).astype(np.int64)
+            much = times > common
+            cell = np.where(much[inverse], cells + row % cells, here[inverse])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            order = np.argsort(cell, kind="stable")  # stays document by document within a cell
+            bounds = np.flatnonzero(np.diff(cell[order], prepend=-1))
+            marked: dict[int, np.ndarray] = {int(c): kinds[much & (here == c)] for c in np.unique(here[much])}
+            for a, z in zip(bounds, [*bounds[1:], len(order)]):
+                at = order[a:z]
+                c = int(cell[at[0]])
+                first = np.flatnonzero(np.diff(row[at], prepend=-1))
+                who = row[at][first]
+                marks = marked.pop(c, kinds[:0])
+                for o, v in zip(out, (c, d[at], n[at], fps[who], np.diff([*first, len(at)]).astype(np.int32), totals[who], marks)):
+                    o.append(v if isinstance(v, int) else v.tobytes())
+            for c, marks in marked.items():
+                for o, v in zip(out, (c, b"", b"", b"", b"", b"", marks.tobytes())):
                     o.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(rows, kinds)], ["i", "fp", "total", "ds", "ls"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], ["cell", "d", "n", "fp", "k", "total", "marks"])
+
+        for b in batches(it, 4 << 20, column=1):
+            for i, s in zip(b.column(0).to_pylist(), chunk_sets(b.column(1).to_pylist())):
+                if s and i is not None:
+                    d = np.array(sorted(s), np.int64)
+                    fp = _class_hash(d)
+                    if fp not in held:
+                        n = np.array([s[x] for x in d.tolist()], np.uint16)
+                        held[fp] = d, n, int(n.sum(dtype=np.int64))
+                        size += len(d)
+            if size >= PACKED:
+                yield flush()
+                held, size = {}, 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _sharer(cells: int, common: int):
+    """All of one cell to (fp, total, digest, length, holders) of the digests that two classes or more have."""
+
+    def run(t: pa.Table) -> pa.Table:
+        c = t.column("cell")[0].as_py()
+        joined = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in t.column(name)), kind)
+        d, n, k, marks = joined("d", np.int64), joined("n", np.uint16), joined("k", np.int32), joined("marks", np.int64)
+        fp, total = np.repeat(joined("fp", np.int64), k), np.repeat(joined("total", np.int32), k)
+        order = np.lexsort((fp, d))
+        d, n, fp, total = d[order], n[order], fp[order], total[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (fp[1:] != fp[:-1])
+        d, n, fp, total = d[new], n[new], fp[new], total[new]
+        start = np.flatnonzero(np.diff(d, prepend=d[:1] ^ 1))
+        times = np.diff([*start, len(d)])
+        holders = np.repeat(times, times)
+        if c >= cells:
+            holders[:] = common + 1
+        elif len(marks):
+            holders[np.isin(d, marks)] = common + 1
+        keep = holders > 1
+        return pa.table({"fp": fp[keep], "total": total[keep].astype(np.int32), "d": d[keep], "len": n[keep].astype(np.int32), "n": np.minimum(holders[keep], common + 1).astype(np.int32)})
+
+    return run
+
+
+def _postings_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, need, rare, digests, lengths) to a row a rare digest: (digest, id, need, left: length from here on)."""
+    for b in it:
+        if not b.num_rows:
+            continue
+        i, need, rare = (b.column(k).to_numpy() for k in range(3))
+        size = np.diff(b.column(3).offsets.to_numpy())
+        d, n = b.column(3).flatten().to_numpy(), b.column(4).flatten().to_numpy().astype(np.int64)
+        end = np.cumsum(size)
+        through = np.cumsum(n)
+        left = np.repeat(through[end - 1], size) - through + n
+        place = np.arange(len(d)) - np.repeat(end - size, size)
+        keep = place < np.repeat(rare, size)
+        yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(np.repeat(i, size)[keep]), pa.array(np.repeat(need, size)[keep]), pa.array(left[keep].astype(np.int32))], ["d", "i", "need", "left"])
+
+
+def _pairs_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by digest to the candidates (a, b), each once a batch."""
+    rest: list[pa.RecordBatch] = []
+
+    def of(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(part)
+        d, i, need, left = (t.column(k).to_numpy() for k in range(4))
+        start = np.flatnonzero(np.diff(d, prepend=d[:1] ^ 1))
+        size = np.diff([*start, len(d)])
+        own = np.flatnonzero(left >= need)  # a's prefix
+        times = np.repeat(size, size)[own]
+        a = np.repeat(own, times)
+        b = np.repeat(np.repeat(start, size)[own], times) + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+        # at the first digest that the two share, what the container has from there on must be enough
+        ok = (i[a] != i[b]) & (left[b] >= need[a])
+        a, b = i[a[ok]], i[b[ok]]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+    for x in it:
+        if not x.num_rows:
+            continue
+        d = x.column(0).to_numpy()
+        cut = int(np.flatnonzero(np.diff(d, prepend=d[:1] ^ 1))[-1])  # the last digest may go on in the next batch
+        if cut:
+            yield of([*rest, x.slice(0, cut)])
+            rest = []
+        elif rest and rest[-1].column(0)[-1].as_py() != int(d[0]):
+            yield of(rest)
+            rest = []
+        rest.append(x.slice(cut))
+    if rest:
+        yield of(rest)
+
+
+def _overlap_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, rare of a, digests and lengths of a, digests of b) to (a, b, shared length, that of common digests)."""
+    for x in it:
+        shared, common = np.zeros(x.num_rows, np.int32), np.zeros(x.num_rows, np.int32)
+        rare = x.column(2).to_numpy()
+        da, na, db = x.column(3), x.column(4), x.column(5)
+        oa, ob = da.offsets.to_numpy(), db.offsets.to_numpy()
+        va, vn, vb = da.values.to_numpy(), na.values.to_numpy(), db.values.to_numpy()
+        on = na.offsets.to_numpy()
+        for r in range(x.num_rows):
+            here = np.isin(va[oa[r] : oa[r + 1]], vb[ob[r] : ob[r + 1]])
+            n = vn[on[r] : on[r + 1]] * here
+            shared[r], common[r] = n.sum(), n[rare[r] :].sum()
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(shared), pa.array(common)], ["a", "b", "shared", "common"])
+
+
+def shared_sets(slim: DataFrame, heads: DataFrame, length: int, threshold: float, common: int) -> DataFrame:
+    """(fp, i: the class's smallest id, need, ds, ls, rare, hid): what each class shares with others, rarest first; the
+    digests from place ``rare`` on are common, and hid tells sets of common digests apart."""
+    cells = max(16, -(-length // ((1 << CHUNK_BITS) * CELL)))
+    packed = slim.mapInArrow(_packer(cells, common), "cell int, d binary, n binary, fp binary, k binary, total binary, marks binary")
+    posts = packed.groupBy("cell").applyInArrow(_sharer(cells, common), "fp long, total int, d long, len int, n int")
+    sets = posts.groupBy("fp").agg(F.max("total").alias("total"), F.sort_array(F.collect_set(F.struct("n", "d", "len"))).alias("x"))
+    sets = sets.select("fp", "total", F.col("x.d").alias("ds"), F.col("x.len").alias("ls"), F.size(F.filter("x", lambda e: e["n"] <= common)).alias("rare"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(float(threshold)) - F.lit(1e-9))).cast("int")
+    hid = F.when(F.col("rare") < F.size("ds"), F.xxhash64(F.expr("slice(ds, rare + 1, size(ds) - rare)")))
+    sets = sets.join(heads.select("fp", "i"), "fp").select("fp", "i", need.alias("need"), "ds", "ls", "rare", hid.alias("hid"))
+    return written(sets, "sets")
+
+
+def by_rare(sets: DataFrame) -> DataFrame:
+    """(fp, shared, other, extra) for pairs that share a rare digest; other: (id, fp) of the container, extra: 1 where the
+    pair's common digests alone don't make it one."""
+    own = sets.filter("rare > 0")
+    post = own.select("fp", "need", "rare", "ds", "ls").mapInArrow(_postings_pass, "d long, i long, need int, left int")
+    pairs = post.repartition("d").sortWithinPartitions("d").mapInArrow(_pairs_pass, "a long, b long").distinct()
+    a = own.select(F.col("fp").alias("a"), "rare", "ds", "ls")
+    b = own.select(F.col("fp").alias("b"), F.col("ds").alias("db"))
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", "rare", "ds", "ls", "db").mapInArrow(_overlap_pass, "a long, b long, shared int, common int")
+    found = found.join(own.select(F.col("fp").alias("a"), "need"), "a").filter("shared >= need").join(own.select(F.col("fp").alias("b"), "i"), "b")
+    return found.select(F.col("a").alias("fp"), "shared", F.struct("i", F.col("b").alias("fp")).alias("other"), F.when(F.col("common") < F.col("need"), 1).otherwise(0).cast("long").alias("extra"))
+
+
+def by_common(sets: DataFrame, block: int) -> DataFrame:
+    """The same columns for each length of common digests that a class shares with others: extra is the number of classes
+    that share it, other the first of them."""
+    rest = "slice({0}, rare + 1, size({0}) - rare)"
+    hot = sets.filter("hid is not null").select("fp", F.struct("i", "fp").alias("me"), "need", "hid", F.expr(rest.format("ds")).alias("ds"), F.expr(rest.format("ls")).alias("ls"))
+    hot = hot.withColumn("all", F.expr("aggregate(ls, 0, (x, y) -> x + y)"))
+    asks = F.col("all") >= F.col("need")
+    kinds = hot.groupBy("hid").agg(F.count("*").alias("holders"), F.min("me").alias("one"), F.min(F.when(asks, F.col("need"))).alias("least"), F.first("ds").alias("ds"), F.first("ls").alias("ls"))
+    kinds = written(kinds, "common")
+    # among a set's own holders the first one asks for another than itself
+    two = hot.join(kinds.select("hid", "one"), "hid").filter("me > one").groupBy("hid").agg(F.min("me").alias("two"))
+    posts = kinds.select("hid", "least", F.explode(F.arrays_zip("ds", "ls")).alias("x")).select("hid", "least", F.col("x.ds").alias("d"), F.col("x.ls").alias("len"))
+    posts = written(posts, "common-postings")
+    posts = posts.join(posts.groupBy("d").agg(F.expr(f"cast((count(*) - 1) div {block} as int)").alias("blocks")), "d")
+    a = posts.filter("least is not null").select("d", F.col("hid").alias("a"), "len", F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("s"))
+    b = posts.select("d", F.col("hid").alias("b"), F.pmod("hid", F.col("blocks") + 1).cast("int").alias("s"))
+    pairs = a.join(b, ["d", "s"]).groupBy("a", "b").agg(F.sum("len").cast("int").alias("shared"))
+    pairs = pairs.join(kinds.select(F.col("hid").alias("a"), "least"), "a").filter("shared >= least")
+    pairs = pairs.join(kinds.select(F.col("hid").alias("b"), "holders", "one").join(two.withColumnRenamed("hid", "b"), "b", "left"), "b")
+    own = F.col("a") == F.col("b")
+    sums = pairs.groupBy(F.col("a").alias("hid"), "shared").agg(
+        F.sum("holders").alias("holders"), F.min(F.when(~own, F.col("one"))).alias("other"), F.min(F.when(own, F.col("one"))).alias("one"), F.min(F.when(own, F.col("two"))).alias("two")
+    )
+    found = hot.filter(asks).select("fp", "me", "need", "hid").join(sums, "hid").filter("shared >= need")
+    mine = F.when(F.col("one") == F.col("me"), F.col("two")).otherwise(F.col("one"))
+    extra = F.col("holders") - F.when(F.col("one").isNotNull(), 1).otherwise(0)
+    return found.select("fp", "shared", F.least("other", mine).alias("other"), extra.alias("extra"))
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(i, fp: hash of the digest set, total length, digests, lengths), a row a document with text and id."""
+def containments(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, common: int = COMMON, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, copies, chunks, containers, container_id, containment); see the module."""
     slim = df.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t"))
-    return slim.mapInArrow(_chunk_pass, "i long, fp long, total long, ds array<long>, ls array<int>")
-
-
-def containments(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(doc_id, container_id, containment); see the module."""
-    own = fingerprints(df, doc_id, text)  # computed twice, as that is less than writing it
-    one = own.groupBy("i").agg(F.min(F.struct("fp", "total")).alias("x")).select("i", "x.fp", "x.total")
-    heads = one.withColumn("head", F.min("i").over(Window.partitionBy("fp")))
-    heads = written(heads, "classes")
-    firsts = heads.filter("i = head")
-    first = own.join(firsts.select("i", "fp"), ["i", "fp"], "left_semi").dropDuplicates(["i", "fp"])
-    post = first.select("i", F.explode(F.arrays_zip("ds", "ls")).alias("c")).select("i", F.col("c.ds").alias("d"), F.col("c.ls").alias("len"))
-    # digests that two documents or more have; the rest of a document is what it has alone
-    post = post.withColumn("n", F.count("*").over(Window.partitionBy("d"))).filter("n > 1").join(firsts.select("i", "total"), "i")
-    mine = Window.partitionBy("i")
-    by = mine.orderBy("n", "d").rowsBetween(Window.unboundedPreceding, -1)
-    post = post.withColumn("have", F.sum("len").over(mine)).withColumn("seen", F.col("total") - F.col("have") + F.coalesce(F.sum("len").over(by), F.lit(0)))
-    post = written(post, "postings")
-    prefix = post.filter((F.col("total") - F.col("seen")) / F.col("total") >= threshold)
-    blocks = F.expr(f"cast((n - 1) div {block} as int)")
-    a = prefix.select("d", F.col("i").alias("a"), "total", F.explode(F.sequence(F.lit(0), blocks)).alias("s"))
-    b = post.select("d", F.col("i").alias("b"), (F.col("total") - F.col("seen")).alias("left"), F.pmod(F.xxhash64("i"), blocks + 1).cast("int").alias("s"))
-    # at the first chunk that the two share, what the container has from there on is enough to hold the threshold's share
-    pairs = a.join(b, ["d", "s"]).filter((F.col("a") != F.col("b")) & (F.col("left") / F.col("total") >= threshold)).select("a", "b").repartition("a").distinct()
-    shared = pairs.join(post.select(F.col("i").alias("a"), "d", "len"), "a").join(post.select(F.col("i").alias("b"), "d"), ["b", "d"])
-    found = shared.groupBy("a", "b").agg(F.sum("len").alias("len")).join(firsts.select(F.col("i").alias("a"), "total"), "a")
-    found = found.withColumn("c", F.col("len") / F.col("total")).filter(F.col("c") >= threshold)
-    same = heads.filter("i <> head").select(F.col("i").alias("doc_id"), F.col("head").alias("container_id"), F.lit(1.0).alias("containment"))
-    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("container_id"), F.col("c").alias("containment")).unionByName(same)
+    own = written(slim.mapInArrow(_class_pass, "i long, fp long, total long, n long"), "classes")  # the texts are cut twice, as that is less than writing the cells
+    heads = written(own.filter("fp is not null").groupBy("fp").agg(F.min("i").alias("i"), F.count("*").alias("copies"), F.first("total").alias("total")), "heads")
+    length = heads.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    sets = shared_sets(slim, heads, length, threshold, common)
+    found = by_rare(sets).unionByName(by_common(sets, block))
+    best = F.max(F.when(F.col("other").isNotNull(), F.struct("shared", (-F.col("other.i")).alias("id"))))
+    found = found.groupBy("fp").agg(F.sum("extra").alias("containers"), best.alias("best"))
+    heads = heads.join(found, "fp", "left").select(
+        "fp", F.col("i").alias("class_id"), "copies", F.coalesce("containers", F.lit(0)).cast("long").alias("containers"), (-F.col("best.id")).alias("container_id"), (F.col("best.shared") / F.col("total")).alias("containment")
+    )
+    rows = own.filter("fp is not null").join(heads, "fp").select(F.col("i").alias("doc_id"), "class_id", "copies", F.col("n").alias("chunks"), "containers", "container_id", "containment")
+    none = [F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("copies"), F.col("n").alias("chunks"), F.lit(0).cast("long").alias("containers"), F.lit(None).cast("long").alias("container_id"), F.lit(None).cast("double").alias("containment")]
+    return rows.unionByName(own.filter("fp is null").select(F.col("i").alias("doc_id"), *none))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: every pair of documents with the containment of the first in the second."""
+    """op9: every document with its class, the number of its containers and the closest one."""
     return containments(spark.read.parquet(f"{sf_dir}/documents.parquet"))
