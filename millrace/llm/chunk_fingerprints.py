@@ -20,7 +20,8 @@ Plan, exact at every size:
 3. Pairs by rare digests (prefix filtering): if A is contained in B to the threshold and they share a rare digest, they share
    one among the first that make up just over 1 - threshold of A. A rare digest has ``common`` holders at most.
 4. Pairs by common digests alone are never listed by document. Documents with equal sets of common digests are alike to
-   them, so sets are joined with sets, in blocks, and documents take the number of a set's holders from there.
+   them, so sets are joined with sets, in the same way and in blocks, and documents take the number of a set's holders
+   from there. The table of sets is broadcast while it has at most ``broadcast_digests``, else joined.
 
 Cases: NULL and blank texts have no chunks; they have no class and no containers. Documents without id can't be named and are
 left out. Each row counts by itself, so an id with two texts has a row for each. Texts shorter than the least size are one
@@ -38,10 +39,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm._shared import batches, written
 
-THRESHOLD, COMMON, BLOCK = 0.4, 64, 512
+THRESHOLD, COMMON, BLOCK, BROADCAST_DIGESTS = 0.4, 64, 512, 4_000_000
 #: Of a document's chunks: least and greatest size, bits of the average one, and the bytes that decide a cut (at most the least size).
 CHUNK_LEAST, CHUNK_BITS, CHUNK_MOST, WINDOW = 8, 5, 128, 8
 #: Digests that a map task packs at a time, and those that a cell is to have in all.
@@ -123,23 +125,22 @@ def _class_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packer(cells: int, common: int):
-    """(id, text) to cells: digests and lengths document by document, with each document's class, total and number of
+    """(id, text) to cells: digests and lengths document by document, with each document's class and number of
     digests; ``marks`` are digests that are common already here. Those of a cell >= ``cells`` are all common."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             fps = np.fromiter(held, np.int64, len(held))
-            totals = np.fromiter((x[2] for x in held.values()), np.int32, len(held))
             d, n = np.concatenate([x[0] for x in held.values()]), np.concatenate([x[1] for x in held.values()])
             row = np.repeat(np.arange(len(held)), [len(x[0]) for x in held.values()])
             kinds, inverse, times = np.unique(d, return_inverse=True, return_counts=True)
             here = np.minimum((kinds.view(np.uint64) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32), np.uint64(cells - 1)).astype(np.int64)
             much = times > common
             cell = np.where(much[inverse], cells + row % cells, here[inverse])
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             order = np.argsort(cell, kind="stable")  # stays document by document within a cell
             bounds = np.flatnonzero(np.diff(cell[order], prepend=-1))
             marked: dict[int, np.ndarray] = {int(c): kinds[much & (here == c)] for c in np.unique(here[much])}
@@ -149,12 +150,12 @@ def _packer(cells: int, common: int):
                 first = np.flatnonzero(np.diff(row[at], prepend=-1))
                 who = row[at][first]
                 marks = marked.pop(c, kinds[:0])
-                for o, v in zip(out, (c, d[at], n[at], fps[who], np.diff([*first, len(at)]).astype(np.int32), totals[who], marks)):
+                for o, v in zip(out, (c, d[at], n[at], fps[who], np.diff([*first, len(at)]).astype(np.int32), marks)):
                     o.append(v if isinstance(v, int) else v.tobytes())
             for c, marks in marked.items():
-                for o, v in zip(out, (c, b"", b"", b"", b"", b"", marks.tobytes())):
+                for o, v in zip(out, (c, b"", b"", b"", b"", marks.tobytes())):
                     o.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], ["cell", "d", "n", "fp", "k", "total", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(o, pa.binary()) for o in out[1:])], ["cell", "d", "n", "fp", "k", "marks"])
 
         for b in batches(it, 4 << 20, column=1):
             for i, s in zip(b.column(0).to_pylist(), chunk_sets(b.column(1).to_pylist())):
@@ -162,8 +163,7 @@ def _packer(cells: int, common: int):
                     d = np.array(sorted(s), np.int64)
                     fp = _class_hash(d)
                     if fp not in held:
-                        n = np.array([s[x] for x in d.tolist()], np.uint16)
-                        held[fp] = d, n, int(n.sum(dtype=np.int64))
+                        held[fp] = d, np.array([s[x] for x in d.tolist()], np.uint16)
                         size += len(d)
             if size >= PACKED:
                 yield flush()
@@ -175,18 +175,18 @@ def _packer(cells: int, common: int):
 
 
 def _sharer(cells: int, common: int):
-    """All of one cell to (fp, total, digest, length, holders) of the digests that two classes or more have."""
+    """All of one cell to (fp, digest, length, holders) of the digests that two classes or more have."""
 
     def run(t: pa.Table) -> pa.Table:
         c = t.column("cell")[0].as_py()
         joined = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in t.column(name)), kind)
         d, n, k, marks = joined("d", np.int64), joined("n", np.uint16), joined("k", np.int32), joined("marks", np.int64)
-        fp, total = np.repeat(joined("fp", np.int64), k), np.repeat(joined("total", np.int32), k)
+        fp = np.repeat(joined("fp", np.int64), k)
         order = np.lexsort((fp, d))
-        d, n, fp, total = d[order], n[order], fp[order], total[order]
+        d, n, fp = d[order], n[order], fp[order]
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]) | (fp[1:] != fp[:-1])
-        d, n, fp, total = d[new], n[new], fp[new], total[new]
+        d, n, fp = d[new], n[new], fp[new]
         start = np.flatnonzero(np.diff(d, prepend=d[:1] ^ 1))
         times = np.diff([*start, len(d)])
         holders = np.repeat(times, times)
@@ -195,7 +195,7 @@ def _sharer(cells: int, common: int):
         elif len(marks):
             holders[np.isin(d, marks)] = common + 1
         keep = holders > 1
-        return pa.table({"fp": fp[keep], "total": total[keep].astype(np.int32), "d": d[keep], "len": n[keep].astype(np.int32), "n": np.minimum(holders[keep], common + 1).astype(np.int32)})
+        return pa.table({"fp": fp[keep], "d": d[keep], "len": n[keep].astype(np.int32), "n": np.minimum(holders[keep], common + 1).astype(np.int32)})
 
     return run
 
@@ -255,88 +255,99 @@ def _pairs_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlap_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, rare of a, digests and lengths of a, digests of b) to (a, b, shared length, that of common digests)."""
+    """(a, b, need and rare of a, digests and lengths of a, digests of b) to (a, b, shared length, that of common digests)
+    where a needs no more than they share."""
     for x in it:
         shared, common = np.zeros(x.num_rows, np.int32), np.zeros(x.num_rows, np.int32)
-        rare = x.column(2).to_numpy()
-        da, na, db = x.column(3), x.column(4), x.column(5)
-        oa, ob = da.offsets.to_numpy(), db.offsets.to_numpy()
-        va, vn, vb = da.values.to_numpy(), na.values.to_numpy(), db.values.to_numpy()
-        on = na.offsets.to_numpy()
+        rare = x.column(3).to_numpy()
+        da, na, db = x.column(4), x.column(5), x.column(6)
+        oa, on, ob = (c.offsets.to_numpy() for c in (da, na, db))
+        va, vn, vb = (c.values.to_numpy() for c in (da, na, db))
         for r in range(x.num_rows):
             here = np.isin(va[oa[r] : oa[r + 1]], vb[ob[r] : ob[r + 1]])
             n = vn[on[r] : on[r + 1]] * here
             shared[r], common[r] = n.sum(), n[rare[r] :].sum()
-        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(shared), pa.array(common)], ["a", "b", "shared", "common"])
+        keep = pa.array(shared >= x.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (x.column(0), x.column(1), pa.array(shared), pa.array(common))], ["a", "b", "shared", "common"])
 
 
 def shared_sets(slim: DataFrame, heads: DataFrame, length: int, threshold: float, common: int) -> DataFrame:
-    """(fp, i: the class's smallest id, need, ds, ls, rare, hid): what each class shares with others, rarest first; the
-    digests from place ``rare`` on are common, and hid tells sets of common digests apart."""
+    """(k: number of the class, i: its smallest id, need, ds, ls, rare, hid): what each class shares with others, rarest
+    first; the digests from place ``rare`` on are common, and hid tells sets of common digests apart."""
     cells = max(16, -(-length // ((1 << CHUNK_BITS) * CELL)))
-    packed = slim.mapInArrow(_packer(cells, common), "cell int, d binary, n binary, fp binary, k binary, total binary, marks binary")
-    posts = packed.groupBy("cell").applyInArrow(_sharer(cells, common), "fp long, total int, d long, len int, n int")
-    sets = posts.groupBy("fp").agg(F.max("total").alias("total"), F.sort_array(F.collect_set(F.struct("n", "d", "len"))).alias("x"))
-    sets = sets.select("fp", "total", F.col("x.d").alias("ds"), F.col("x.len").alias("ls"), F.size(F.filter("x", lambda e: e["n"] <= common)).alias("rare"))
+    packed = slim.mapInArrow(_packer(cells, common), "cell int, d binary, n binary, fp binary, k binary, marks binary")
+    posts = packed.groupBy("cell").applyInArrow(_sharer(cells, common), "fp long, d long, len int, n int")
+    sets = posts.groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("n", "d", "len"))).alias("x"))
+    sets = sets.select("fp", F.col("x.d").alias("ds"), F.col("x.len").alias("ls"), F.size(F.filter("x", lambda e: e["n"] <= common)).alias("rare"))
     need = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(float(threshold)) - F.lit(1e-9))).cast("int")
     hid = F.when(F.col("rare") < F.size("ds"), F.xxhash64(F.expr("slice(ds, rare + 1, size(ds) - rare)")))
-    sets = sets.join(heads.select("fp", "i"), "fp").select("fp", "i", need.alias("need"), "ds", "ls", "rare", hid.alias("hid"))
+    sets = sets.join(heads.select("fp", "i", "k", "total"), "fp").select("k", "i", need.alias("need"), "ds", "ls", "rare", hid.alias("hid"))
     return written(sets, "sets")
 
 
 def by_rare(sets: DataFrame) -> DataFrame:
-    """(fp, shared, other, extra) for pairs that share a rare digest; other: (id, fp) of the container, extra: 1 where the
+    """(k, shared, other, extra) for pairs that share a rare digest; other: (id, k) of the container, extra: 1 where the
     pair's common digests alone don't make it one."""
     own = sets.filter("rare > 0")
-    post = own.select("fp", "need", "rare", "ds", "ls").mapInArrow(_postings_pass, "d long, i long, need int, left int")
-    pairs = post.repartition("d").sortWithinPartitions("d").mapInArrow(_pairs_pass, "a long, b long").distinct()
-    a = own.select(F.col("fp").alias("a"), "rare", "ds", "ls")
-    b = own.select(F.col("fp").alias("b"), F.col("ds").alias("db"))
-    found = pairs.join(a, "a").join(b, "b").select("a", "b", "rare", "ds", "ls", "db").mapInArrow(_overlap_pass, "a long, b long, shared int, common int")
-    found = found.join(own.select(F.col("fp").alias("a"), "need"), "a").filter("shared >= need").join(own.select(F.col("fp").alias("b"), "i"), "b")
-    return found.select(F.col("a").alias("fp"), "shared", F.struct("i", F.col("b").alias("fp")).alias("other"), F.when(F.col("common") < F.col("need"), 1).otherwise(0).cast("long").alias("extra"))
+    post = own.select("k", "need", "rare", "ds", "ls").mapInArrow(_postings_pass, "d long, k long, need int, left int")
+    pairs = post.repartition("d").sortWithinPartitions("d").mapInArrow(_pairs_pass, "a long, b long").repartition("a").distinct()
+    a = own.select(F.col("k").alias("a"), "need", "rare", "ds", "ls")
+    b = own.select(F.col("k").alias("b"), F.col("ds").alias("db"))
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", "need", "rare", "ds", "ls", "db").mapInArrow(_overlap_pass, "a long, b long, shared int, common int")
+    found = found.join(own.select(F.col("k").alias("a"), "need"), "a").join(own.select(F.col("k").alias("b"), "i"), "b")
+    return found.select(F.col("a").alias("k"), "shared", F.struct("i", F.col("b").alias("k")).alias("other"), F.when(F.col("common") < F.col("need"), 1).otherwise(0).cast("long").alias("extra"))
 
 
-def by_common(sets: DataFrame, block: int) -> DataFrame:
+def by_common(sets: DataFrame, block: int, broadcast_digests: int) -> DataFrame:
     """The same columns for each length of common digests that a class shares with others: extra is the number of classes
     that share it, other the first of them."""
     rest = "slice({0}, rare + 1, size({0}) - rare)"
-    hot = sets.filter("hid is not null").select("fp", F.struct("i", "fp").alias("me"), "need", "hid", F.expr(rest.format("ds")).alias("ds"), F.expr(rest.format("ls")).alias("ls"))
+    hot = sets.filter("hid is not null").select("k", F.struct("i", "k").alias("me"), "need", "hid", F.expr(rest.format("ds")).alias("ds"), F.expr(rest.format("ls")).alias("ls"))
     hot = hot.withColumn("all", F.expr("aggregate(ls, 0, (x, y) -> x + y)"))
     asks = F.col("all") >= F.col("need")
-    kinds = hot.groupBy("hid").agg(F.count("*").alias("holders"), F.min("me").alias("one"), F.min(F.when(asks, F.col("need"))).alias("least"), F.first("ds").alias("ds"), F.first("ls").alias("ls"))
-    kinds = written(kinds, "common")
-    # among a set's own holders the first one asks for another than itself
-    two = hot.join(kinds.select("hid", "one"), "hid").filter("me > one").groupBy("hid").agg(F.min("me").alias("two"))
-    posts = kinds.select("hid", "least", F.explode(F.arrays_zip("ds", "ls")).alias("x")).select("hid", "least", F.col("x.ds").alias("d"), F.col("x.ls").alias("len"))
-    posts = written(posts, "common-postings")
-    posts = posts.join(posts.groupBy("d").agg(F.expr(f"cast((count(*) - 1) div {block} as int)").alias("blocks")), "d")
-    a = posts.filter("least is not null").select("d", F.col("hid").alias("a"), "len", F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("s"))
-    b = posts.select("d", F.col("hid").alias("b"), F.pmod("hid", F.col("blocks") + 1).cast("int").alias("s"))
-    pairs = a.join(b, ["d", "s"]).groupBy("a", "b").agg(F.sum("len").cast("int").alias("shared"))
-    pairs = pairs.join(kinds.select(F.col("hid").alias("a"), "least"), "a").filter("shared >= least")
-    pairs = pairs.join(kinds.select(F.col("hid").alias("b"), "holders", "one").join(two.withColumnRenamed("hid", "b"), "b", "left"), "b")
-    own = F.col("a") == F.col("b")
-    sums = pairs.groupBy(F.col("a").alias("hid"), "shared").agg(
-        F.sum("holders").alias("holders"), F.min(F.when(~own, F.col("one"))).alias("other"), F.min(F.when(own, F.col("one"))).alias("one"), F.min(F.when(own, F.col("two"))).alias("two")
+    kinds = hot.groupBy("hid").agg(
+        F.count("*").alias("holders"), F.min("me").alias("one"), F.min(F.when(asks, F.col("need"))).alias("least"), F.first("ds").alias("ds"), F.first("ls").alias("ls"), F.first("all").alias("all")
     )
-    found = hot.filter(asks).select("fp", "me", "need", "hid").join(sums, "hid").filter("shared >= need")
-    mine = F.when(F.col("one") == F.col("me"), F.col("two")).otherwise(F.col("one"))
-    extra = F.col("holders") - F.when(F.col("one").isNotNull(), 1).otherwise(0)
-    return found.select("fp", "shared", F.least("other", mine).alias("other"), extra.alias("extra"))
-
-
-def containments(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, common: int = COMMON, block: int = BLOCK) -> DataFrame:
+    kinds = written(kinds.withColumn("kind", F.monotonically_increasing_id()), "common")
+    few = kinds.agg(F.coalesce(F.sum(F.size("ds")), F.lit(0))).first()[0] <= broadcast_digests
+    hint = F.broadcast if few else (lambda x: x)
+    # candidates: sets that share one of the digests which make up all but the needed length, the digests of few sets first
+    posts = kinds.select("kind", "least", F.explode(F.arrays_zip("ds", "ls")).alias("x")).select("kind", "least", F.col("x.ds").alias("d"), F.col("x.ls").alias("len"))
+    posts = posts.join(posts.groupBy("d").agg(F.count("*").alias("n")), "d")
+    after = Window.partitionBy("kind").orderBy("n", "d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a pair whose digest before this one is the same meets there already
+    posts = posts.withColumn("last", F.lag("d").over(Window.partitionBy("kind").orderBy("n", "d")))
+    posts = written(posts.withColumn("left", F.sum("len").over(after).cast("int")).withColumn("blocks", F.expr(f"cast((n - 1) div {block} as int)")), "common-postings")
+    a = posts.filter("left >= least").select("d", F.col("kind").alias("a"), "least", F.col("last").alias("la"), F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("s"))
+    b = posts.select("d", F.col("kind").alias("b"), "left", F.col("last").alias("lb"), F.pmod(F.xxhash64("kind"), F.col("blocks") + 1).cast("int").alias("s"))
+    pairs = a.join(b, ["d", "s"]).filter("a <> b and left >= least and coalesce(la <> lb, true)").select("a", "b").distinct()
+    left = kinds.filter("least is not null").select(F.col("kind").alias("a"), F.col("least").alias("need"), F.lit(0).alias("rare"), "ds", "ls")
+    right = kinds.select(F.col("kind").alias("b"), F.col("ds").alias("db"))
+    pairs = pairs.join(hint(left), "a").join(hint(right), "b").select("a", "b", "need", "rare", "ds", "ls", "db").mapInArrow(_overlap_pass, "a long, b long, shared int, common int")
+    others = pairs.join(hint(kinds.select(F.col("kind").alias("b"), "holders", "one")), "b").groupBy("a", "shared").agg(F.sum("holders").alias("extra"), F.min("one").alias("other"))
+    # among the set's own holders each one has the others, and the first one asks for another than itself
+    two = hot.join(hint(kinds.select("hid", "one")), "hid").filter("me > one").groupBy("hid").agg(F.min("me").alias("two"))
+    own = kinds.filter("least is not null").join(two, "hid", "left").select(F.col("kind").alias("a"), F.col("all").alias("shared"), (F.col("holders") - 1).alias("extra"), F.col("one").alias("other"), "two")
+    sums = others.withColumn("two", F.lit(None).cast(own.schema["two"].dataType)).unionByName(own)
+    docs = hot.filter(asks).select("k", "me", "need", "hid").join(hint(kinds.select("hid", F.col("kind").alias("a"))), "hid")
+    found = docs.join(sums, "a").filter("shared >= need")
+    return found.select("k", "shared", F.when(F.col("other") == F.col("me"), F.col("two")).otherwise(F.col("other")).alias("other"), "extra")
+
+
+def containments(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, common: int = COMMON, block: int = BLOCK, broadcast_digests: int = BROADCAST_DIGESTS
+) -> DataFrame:
     """(doc_id, class_id, copies, chunks, containers, container_id, containment); see the module."""
     slim = df.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t"))
     own = written(slim.mapInArrow(_class_pass, "i long, fp long, total long, n long"), "classes")  # the texts are cut twice, as that is less than writing the cells
-    heads = written(own.filter("fp is not null").groupBy("fp").agg(F.min("i").alias("i"), F.count("*").alias("copies"), F.first("total").alias("total")), "heads")
+    heads = own.filter("fp is not null").groupBy("fp").agg(F.min("i").alias("i"), F.count("*").alias("copies"), F.first("total").alias("total"))
+    heads = written(heads.withColumn("k", F.monotonically_increasing_id()), "heads")
     length = heads.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     sets = shared_sets(slim, heads, length, threshold, common)
-    found = by_rare(sets).unionByName(by_common(sets, block))
+    found = by_rare(sets).unionByName(by_common(sets, block, broadcast_digests))
     best = F.max(F.when(F.col("other").isNotNull(), F.struct("shared", (-F.col("other.i")).alias("id"))))
-    found = found.groupBy("fp").agg(F.sum("extra").alias("containers"), best.alias("best"))
-    heads = heads.join(found, "fp", "left").select(
+    found = found.groupBy("k").agg(F.sum("extra").alias("containers"), best.alias("best"))
+    heads = heads.join(found, "k", "left").select(
         "fp", F.col("i").alias("class_id"), "copies", F.coalesce("containers", F.lit(0)).cast("long").alias("containers"), (-F.col("best.id")).alias("container_id"), (F.col("best.shared") / F.col("total")).alias("containment")
     )
     rows = own.filter("fp is not null").join(heads, "fp").select(F.col("i").alias("doc_id"), "class_id", "copies", F.col("n").alias("chunks"), "containers", "container_id", "containment")
