@@ -258,15 +258,16 @@ def _overlap_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, need and rare of a, digests and lengths of a, digests of b) to (a, b, shared length, that of common digests)
     where a needs no more than they share."""
     for x in it:
-        shared, common = np.zeros(x.num_rows, np.int32), np.zeros(x.num_rows, np.int32)
-        rare = x.column(3).to_numpy()
+        if not x.num_rows:
+            continue
         da, na, db = x.column(4), x.column(5), x.column(6)
-        oa, on, ob = (c.offsets.to_numpy() for c in (da, na, db))
-        va, vn, vb = (c.values.to_numpy() for c in (da, na, db))
-        for r in range(x.num_rows):
-            here = np.isin(va[oa[r] : oa[r + 1]], vb[ob[r] : ob[r + 1]])
-            n = vn[on[r] : on[r + 1]] * here
-            shared[r], common[r] = n.sum(), n[rare[r] :].sum()
+        sizes = [np.diff(c.offsets.to_numpy()) for c in (da, db)]
+        row, other = (np.repeat(np.arange(x.num_rows), k) for k in sizes)
+        kinds, code = np.unique(np.concatenate([da.flatten().to_numpy(), db.flatten().to_numpy()]), return_inverse=True)
+        here = np.isin(row * len(kinds) + code[: len(row)], other * len(kinds) + code[len(row) :])
+        n = na.flatten().to_numpy() * here
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes[0]) - sizes[0], sizes[0])
+        shared, common = (np.bincount(row, w, x.num_rows).astype(np.int32) for w in (n, n * (place >= x.column(3).to_numpy()[row])))
         keep = pa.array(shared >= x.column(2).to_numpy())
         yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (x.column(0), x.column(1), pa.array(shared), pa.array(common))], ["a", "b", "shared", "common"])
 
