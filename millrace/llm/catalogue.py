@@ -15,7 +15,6 @@ QUERIES = {
     "op10_range_coder": range_coder.query,
 }
 ORACLES = {
-    "op1_mixing": mixing.ORACLE,
     "op2_sharding": sharding.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op5_line_frequency": line_frequency.ORACLE,

@@ -7,14 +7,15 @@ closed form (children sorted by capacity over weight, running sums), done here w
 exact integers; at most one token a child is lost to rounding. If the whole tree is short, it gives all it has.
 
 A leaf with budget b and n tokens takes b div n full epochs and, from the next epoch's seeded order, the longest prefix
-of documents whose tokens fit in the rest. Tokens are runs of non-blanks. The prefix is found without sorting a leaf: the
-order's hash is cut into buckets of a few thousand documents by leaf size, sums of buckets find the one where the budget
-ends, and only that is sorted. What results is one row a leaf, so the documents are chosen by a join with a table as
-small as the list of sources, and their texts are never shuffled.
-
-Cases: NULL language or source is the node '' of its own. NULL and blank texts have no tokens and are never chosen. Rows
-with the same hash and token count (repeated rows; documents without id are hashed by text) are chosen together or not
-at all. An empty table gives an empty table; a node whose weight is 0 gets nothing. Other columns pass unchanged.
+of documents whose tokens fit in the rest. Tokens are those of the tokenizer of ``token_counts``; they are counted once.
+The prefix is found without sorting a leaf: the order's hash is cut into buckets of a few thousand documents by leaf size,
+sums of buckets find the one where the budget ends, and only that is sorted. What results is one row a leaf, so the
+documents are chosen by a join with a table as small as the list of sources, and their texts are never shuffled.
+
+Cases: NULL language or source is the node '' of its own. NULL and blank texts are never chosen and count nothing. Rows
+with the same hash (the same id, or the same text where there is no id) are chosen together or not at all. An empty table
+gives an empty table. A node whose weight is 0 gets nothing, and what is below it is no capacity of the nodes above, so its
+share goes to siblings. Other columns pass unchanged. Names of domains, languages and sources may hold quotes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm._shared import fresh, small_enough, written
+from millrace.llm.token_counts import counted
 
 BUDGET_PERCENT, MAX_EPOCHS, SEED, BUCKET_ROWS, BROADCAST_LEAVES = 80, 4, 29, 8192, 500_000
 DOMAINS = {
@@ -36,14 +38,19 @@ LANG_WEIGHTS = {"en": 60, "de": 15, "fr": 15, "es": 8, "": 2}
 SOURCE_WEIGHTS = {"src0": 40, "src3": 20, "src12": 25, "": 10}
 
 
+def quoted(s: str) -> str:
+    """A string literal of both SQLs (Spark's also needs backslashes doubled; the other's must have none)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "''") + "'"
+
+
 def case(column: str, values: dict[str, int], default: int) -> str:
     """A CASE expression over literals, valid in Spark and in the oracle's SQL."""
-    arms = " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items() if k)
+    arms = " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in values.items() if k)
     return f"CAST(CASE {column} {arms} ELSE {default} END AS BIGINT)" if arms else f"CAST({default} AS BIGINT)"
 
 
 def domain_case(column: str, domains: dict[str, list[str]]) -> str:
-    return "CASE " + " ".join("WHEN " + column + " IN (" + ", ".join(f"'{s}'" for s in v) + f") THEN '{k}'" for k, v in domains.items()) + " ELSE 'other' END"
+    return "CASE " + " ".join("WHEN " + column + " IN (" + ", ".join(map(quoted, v)) + f") THEN {quoted(k)}" for k, v in domains.items()) + " ELSE 'other' END"
 
 
 def water_fill(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
@@ -62,14 +69,16 @@ def water_fill(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, budget: Column, weights: tuple[str, str, str]) -> DataFrame:
     """leaves (dom, lang, src, cap, ...) plus ``share``; weights: SQL for a node's weight at each level."""
-    keys = ["dom", "lang", "src"]
+    keys, every = ["dom", "lang", "src"], leaves
+    for weight in weights:  # what can get nothing is nobody's capacity
+        leaves = leaves.filter(f"{weight} > 0")
     for depth, weight in enumerate(weights):
         parent, key = keys[:depth], keys[depth]
         nodes = leaves.groupBy(*parent, key).agg(F.sum("cap").alias("cap")).withColumn("weight", F.expr(weight))
         if depth:
             nodes = nodes.join(given.select(*parent, F.col("share").alias("budget")), parent)
         else:
-            nodes = nodes.crossJoin(leaves.agg(budget.cast("long").alias("budget")))
+            nodes = nodes.crossJoin(every.agg(budget.cast("long").alias("budget")))
         given = water_fill(nodes, parent, key)
     return leaves.join(given.select(*keys, "share"), keys)
 
@@ -82,18 +91,19 @@ def mix(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", budget_percent: int = BUDGET_PERCENT,
     budget_tokens: int | None = None, max_epochs: int = MAX_EPOCHS, domains: dict[str, list[str]] = DOMAINS, domain_weights: dict[str, int] = DOMAIN_WEIGHTS,
     lang_weights: dict[str, int] = LANG_WEIGHTS, source_weights: dict[str, int] = SOURCE_WEIGHTS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
-    broadcast_leaves: int = BROADCAST_LEAVES, plan: bool = False,
+    broadcast_leaves: int = BROADCAST_LEAVES, plan: bool = False, **tokenizer,
 ) -> DataFrame:
     """df's rows, each as often as the mixture takes it; with ``plan`` (doc_id, domain, lang, source, epoch, n_tokens) instead.
-    The budget is ``budget_tokens``, or else that percentage of the tokens there are."""
+    The budget is ``budget_tokens``, or else that percentage of the tokens there are. ``tokenizer``: see ``token_counts.counted``."""
     c = lambda x: F.col(f"`{x}`")
     dom, lg, src, key, n, h = (x for x in fresh(df, "dom", "lang", "src", "key", "n", "h"))
     own = {
         src: F.coalesce(c(source).cast("string"), F.lit("")), lg: F.coalesce(c(lang).cast("string"), F.lit("")),
-        key: F.coalesce(c(doc_id).cast("string"), F.md5(c(text)), F.lit("")), n: F.coalesce(F.regexp_count(c(text), F.lit("\\S+")), F.lit(0)).cast("long"),
+        key: F.coalesce(c(doc_id).cast("string"), F.md5(c(text)), F.lit("")),
     }
-    docs = df.withColumns(own).withColumn(dom, F.expr(domain_case(f"`{src}`", domains))).filter(F.col(n) > 0)
-    slim = written(docs.select(F.col(dom).alias("dom"), F.col(lg).alias("lang"), F.col(src).alias("src"), F.col(key).alias("key"), F.col(n).alias("n")), "mix")
+    docs = df.filter(c(text).rlike("\\S")).withColumns(own).withColumn(dom, F.expr(domain_case(f"`{src}`", domains)))
+    slim = docs.select(F.col(dom).alias("dom"), F.col(lg).alias("lang"), F.col(src).alias("src"), F.col(key).alias("key"), c(doc_id).alias("id"), c(text).alias("n"))
+    slim = written(counted(slim, **tokenizer), "mix")
     keys = ["dom", "lang", "src"]
     leaves = slim.groupBy(*keys).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).withColumn("cap", F.col("tokens") * max_epochs)
     budget = F.lit(budget_tokens) if budget_tokens is not None else F.expr(f"sum(tokens) * {budget_percent} div 100")
@@ -111,55 +121,28 @@ def mix(
     run = Window.partitionBy(*keys).orderBy("b")
     sums = sums.withColumn("before", F.sum("sum").over(run) - F.col("sum"))
     edge = sums.filter("before <= rest AND before + sum > rest").select(*keys, F.col("b").alias("cut_b"), "before")
-    rows = part.join(hint(edge), keys).filter("b = cut_b").select(*keys, "h", "n", "rest", "before")
-    fits = rows.withColumn("cum", F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("h", "n"))).filter("cum <= rest")
-    last = fits.groupBy(*keys).agg(F.max(F.struct("h", "n")).alias("last"))
+    rows = part.join(hint(edge), keys).filter("b = cut_b").groupBy(*keys, "h", "rest", "before").agg(F.sum("n").alias("n"))
+    fits = rows.withColumn("cum", F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("h"))).filter("cum <= rest")
+    last = fits.groupBy(*keys).agg(F.max("h").alias("last"))
     cuts = leaves.join(edge.drop("before"), keys, "left").join(last, keys, "left")
     cuts = cuts.select(
         F.col("dom").alias(dom), F.col("lang").alias(lg), F.col("src").alias(src), *(F.col(x).alias(f"{h}{x}") for x in ("epochs", "rest", "width", "cut_b", "last"))
     )
     cuts = written(cuts, "cuts")
     at = lambda x: F.col(f"{h}{x}")
+    if plan:
+        docs = slim.select(F.col("dom").alias(dom), F.col("lang").alias(lg), F.col("src").alias(src), F.col("key").alias(key), F.col("id").alias(f"{h}id"), F.col("n").alias(n))
     out = docs.join(hint(cuts), [dom, lg, src]).withColumn(h, order_hash(seed, at("epochs"), F.col(key)))
     b = F.expr(f"cast(conv(substr({h}, 1, 15), 16, 10) as bigint) div {h}width")
     # without an edge the whole leaf fits, which happens only when nothing is left over
-    chosen = (at("rest") > 0) & ((b < at("cut_b")) | ((b == at("cut_b")) & at("last").isNotNull() & (F.struct(F.col(h).alias("h"), F.col(n).alias("n")) <= at("last"))))
+    chosen = (at("rest") > 0) & ((b < at("cut_b")) | ((b == at("cut_b")) & (F.col(h) <= at("last"))))
     times = at("epochs").cast("int") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
     out = out.withColumn(h, times).filter(F.col(h) > 0).withColumn(h, F.explode(F.sequence(F.lit(0), F.col(h) - 1)))
     if not plan:
         return out.select(*(c(x) for x in df.columns))
-    return out.select(c(doc_id).alias("doc_id"), F.col(dom).alias("domain"), F.col(lg).alias("lang"), F.col(src).alias("source"), F.col(h).cast("long").alias("epoch"), F.col(n).alias("n_tokens"))
+    return out.select(F.col(f"{h}id").alias("doc_id"), F.col(dom).alias("domain"), F.col(lg).alias("lang"), F.col(src).alias("source"), F.col(h).cast("long").alias("epoch"), F.col(n).alias("n_tokens"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: one row for each time a document is taken."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), plan=True)
-
-
-def _level(name: str, parent: str, key: str, weight: str, source: str, budget: str) -> str:
-    by = f"PARTITION BY {parent} ORDER BY cap::DOUBLE / weight, {key}" if parent else f"ORDER BY cap::DOUBLE / weight, {key}"
-    part = f"PARTITION BY {parent}" if parent else ""
-    cols = f"{parent}, {key}" if parent else key
-    return f"""
-{name}_n AS (SELECT x.*, {budget} AS budget FROM (SELECT {cols}, sum(cap)::BIGINT AS cap, {weight} AS weight FROM leaves GROUP BY {cols}) x {source}),
-{name}_f AS (SELECT *, coalesce(sum(cap) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * weight
-  + cap * sum(weight) OVER ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= budget * weight AS is_full FROM {name}_n WHERE weight > 0),
-{name} AS (SELECT {cols}, (CASE WHEN is_full THEN cap ELSE (budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({part})) * weight
-  // nullif(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({part}), 0) END)::BIGINT AS share FROM {name}_f),"""
-
-
-ORACLE = (
-    f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS src, coalesce(lang, '') AS lang, coalesce(doc_id::VARCHAR, md5(text), '') AS key,
-  coalesce(len(regexp_extract_all(text, '\\S+')), 0)::BIGINT AS n FROM documents),
-s AS (SELECT *, {domain_case("src", DOMAINS)} AS dom FROM d WHERE n > 0),
-leaves AS (SELECT dom, lang, src, sum(n)::BIGINT AS tokens, (sum(n) * {MAX_EPOCHS})::BIGINT AS cap FROM s GROUP BY ALL),"""
-    + _level("l1", "", "dom", case("dom", DOMAIN_WEIGHTS, DOMAIN_WEIGHTS["other"]), "", f"(SELECT sum(tokens) * {BUDGET_PERCENT} // 100 FROM leaves)")
-    + _level("l2", "dom", "lang", case("lang", LANG_WEIGHTS, LANG_WEIGHTS[""]), "JOIN l1 ON x.dom = l1.dom", "l1.share")
-    + _level("l3", "dom, lang", "src", case("src", SOURCE_WEIGHTS, SOURCE_WEIGHTS[""]), "JOIN l2 ON x.dom = l2.dom AND x.lang = l2.lang", "l2.share")
-    + f"""
-b AS (SELECT leaves.*, share // tokens AS epochs, share - (share // tokens) * tokens AS rest FROM leaves JOIN l3 USING (dom, lang, src)),
-o AS (SELECT s.*, epochs, rest, md5('{SEED}|' || epochs::VARCHAR || '|' || key) AS h FROM s JOIN b USING (dom, lang, src)),
-c AS (SELECT *, sum(n) OVER (PARTITION BY dom, lang, src ORDER BY h, n) AS cum FROM o),
-t AS (SELECT *, unnest(range(epochs + CASE WHEN cum <= rest THEN 1 ELSE 0 END)) AS epoch FROM c)
-SELECT doc_id, dom AS domain, lang, src AS source, epoch::BIGINT AS epoch, n AS n_tokens FROM t"""
-)

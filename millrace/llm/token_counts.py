@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm._shared import batches
 from millrace.llm.token_files import FILE, FOLDER, encoding, token_lengths
@@ -34,7 +35,7 @@ def stable_places(text: str, start: int, end: int) -> list[int]:
 
 def _encode(text: str, enc, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and where each token ends in bytes."""
-    ids = np.array(enc.encode_ordinary(text), np.int32)
+    ids = enc.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
     return ids, np.cumsum(lengths[ids])
 
 
@@ -70,26 +71,32 @@ def count_tokens(text: str | None, enc, lengths: np.ndarray, huge: int = HUGE, c
     if text is None:
         return None
     if len(text) <= huge:
-        return len(enc.encode_ordinary(text))
+        return len(enc.encode_to_numpy(text, disallowed_special=()))
     return sum(len(x) for x in encode_huge(text, enc, lengths, chunk, overlap))
 
 
 def _counter(huge: int, chunk: int, overlap: int, folder: str, file: str):
+    """The text is the last column; its count takes its place."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, lengths = encoding(folder, file), token_lengths(folder, file)
-        for b in batches(it, column=1):
-            n = [count_tokens(t, enc, lengths, huge, chunk, overlap) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["i", "n"])
+        for b in it:
+            for b in batches([b], column=b.num_columns - 1):
+                n = [count_tokens(t, enc, lengths, huge, chunk, overlap) for t in b.columns[-1].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], b.schema.names)
 
     return run
 
 
-def token_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP, folder: str = FOLDER, file: str = FILE) -> DataFrame:
-    """(doc_id, n_tokens) of every row."""
-    kind = df.schema[doc_id].dataType.simpleString()
-    slim = df.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"))
-    done = slim.mapInArrow(_counter(huge, chunk, overlap, folder, file), f"i {kind}, n long")
-    return done.select(F.col("i").alias("doc_id"), F.col("n").alias("n_tokens"))
+def counted(df: DataFrame, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP, folder: str = FOLDER, file: str = FILE) -> DataFrame:
+    """df, whose last column is a text, with the text's token count in that column instead."""
+    schema = T.StructType([*df.schema[:-1], T.StructField(df.columns[-1], T.LongType())])
+    return df.mapInArrow(_counter(huge, chunk, overlap, folder, file), schema)
+
+
+def token_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(doc_id, n_tokens) of every row; ``how``: sizes and the tokenizer's file, see ``counted``."""
+    return counted(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("n_tokens")), **how)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
