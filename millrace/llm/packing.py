@@ -13,9 +13,10 @@ filled to less than ``FULL`` of every capacity, about one bin a group, is packed
 groups as one task takes, and stays as it was where that saves no bin. So above ``group_pieces`` the result is not best fit
 over the table, but close to it; the README has the numbers of bins.
 
-Tokens are runs of non-blanks. Cases: NULL and blank texts have no pieces. Documents without id are grouped by a hash of
-their text and keep a NULL id. Repeated rows are packed each for itself. An empty table gives an empty table. Other
-columns are not used.
+Tokens are those of the tokenizer of ``token_counts``, so a text without blanks fills as many places as it has tokens. Cases:
+NULL and empty texts have no pieces. Documents without id are grouped by a hash of their text and keep a NULL id. Repeated
+rows are packed each for itself. An empty table gives an empty table. Other columns are not used. The document id is an
+integer, or a string that is one.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import written
+from millrace.llm.token_counts import counted
 
 TOKENS, DOCS, COST_SHARE, RULE, WEIGHTS, GROUP_PIECES, SEED = 4096, 24, 0.75, "norm", (1.0, 0.25, 0.5), 4096, 37
 FULL = 0.9
@@ -74,16 +76,15 @@ def longest_piece(tokens: int, cost: int) -> int:
 
 
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: int = TOKENS, docs: int = DOCS, cost_share: float = COST_SHARE, rule: str = RULE,
-         weights: tuple[float, ...] = WEIGHTS, group_pieces: int = GROUP_PIECES, seed: int = SEED) -> DataFrame:
+         weights: tuple[float, ...] = WEIGHTS, group_pieces: int = GROUP_PIECES, seed: int = SEED, **tokenizer) -> DataFrame:
     """One row a piece: (bin_id, slot in the bin, doc_id, piece, first_token, n_tokens). ``cost_share``: the attention
-    capacity as a share of tokens²."""
+    capacity as a share of tokens². ``tokenizer``: see ``token_counts.counted``."""
     cost = max(1, int(cost_share * tokens * tokens))
     most = longest_piece(tokens, cost)
     t = F.col(f"`{text}`")
-    n = F.coalesce(F.regexp_count(t, F.lit("\\S+")), F.lit(0)).cast("long")
     i = F.col(f"`{doc_id}`").cast("long")
-    slim = df.select(i.alias("d"), n.alias("n"), F.when(i.isNull(), F.xxhash64(t, F.lit(seed))).otherwise(F.xxhash64(i, F.lit(seed))).alias("h")).filter("n > 0")
-    slim = written(slim, "pack")
+    h = F.when(i.isNull(), F.xxhash64(t, F.lit(seed))).otherwise(F.xxhash64(i, F.lit(seed)))
+    slim = written(counted(df.select(i.alias("d"), h.alias("h"), t.alias("n")).filter("n <> ''"), **tokenizer), "pack")
     pieces = slim.agg(F.coalesce(F.sum(F.expr(f"(n + {most - 1}) div {most}")), F.lit(0))).first()[0]
     groups = max(1, -(-pieces // group_pieces))
     cut = slim.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {most}"))))
