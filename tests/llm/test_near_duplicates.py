@@ -85,6 +85,79 @@ def test_shape_keeps_the_recall():
         assert 1 - (1 - N.shared_prefix(depth)) ** tries >= N.RECALL
 
 
+def test_short_words_and_order_count():
+    f, ok = N.fingerprints(["we go to the river at 10 am", "he is in the river by 55 pm", "to be or not", "not or be to", "a", "!"])
+    x = np.ascontiguousarray(f).view(np.uint64)
+    d = N.distances(x, x)
+    assert d[0, 1] > N.RADIUS and d[2, 3] > 0 and ok.tolist() == [True] * 5 + [False]
+
+
+def test_fingerprint_against_brute_force():
+    text = "one two three two one"
+    words = [N.xxhash.xxh3_64_intdigest(w.encode(), seed=N.SEED) for w in text.split()]
+    m, lanes = (1 << 64) - 1, N._LANES.tolist()
+    pairs = {(a * lanes[0] + b * lanes[1]) & m for a, b in zip([1, *words], [*words, 2])}
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    feats = set(words) | pairs
+    vectors = [b"".join(mixed((h + k) & m).to_bytes(8, "little") for k in lanes) for h in feats]
+    ones = sum(np.unpackbits(np.frombuffer(v, np.uint8)).astype(int) for v in vectors)
+    assert (np.packbits(2 * ones > len(feats)) == N.fingerprints([text])[0][0]).all()
+
+
+def test_a_hundred_thousand_near_equal_rows_in_one_node():
+    rng = np.random.default_rng(8)
+    n = 100_000
+    f = np.repeat(rng.integers(0, 2**63, (3, 4)).astype(np.uint64), [n - 3000, 1000, 2000], axis=0)
+    for _ in range(9):
+        f[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    chain = f[:1].repeat(6, axis=0)  # leads from the first group's edge away, 40 bits a step
+    for k in range(1, 6):
+        chain[k:, (k - 1) * 40 // 64] ^= np.uint64((1 << 40) - 1) << np.uint64(8)
+    ids = rng.permutation(n + 6).astype(np.int64)
+    member, low = N.links_within(ids, np.concatenate([f, chain]), 48)
+    assert len(member) == n + 6 - 3 and len(set(low.tolist())) == 3
+
+
+def test_pivots_give_what_all_pairs_give():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (40, 4)).astype(np.uint64)
+    f = base[rng.integers(0, 40, 1500)]
+    for k in range(30):
+        hit = rng.random(1500) < 0.7
+        f[hit, rng.integers(0, 4)] ^= np.uint64(1) << rng.integers(0, 64, int(hit.sum())).astype(np.uint64)
+    ids = rng.permutation(1500).astype(np.int64)
+    for pivots in (0, 3, 200):
+        got = {tuple(x) for x in zip(*(y.tolist() for y in N.links_within(ids, f, 30, block=50, pivots=pivots)))}
+        assert got == {tuple(x) for x in zip(*(y.tolist() for y in N.links_within(ids, f, 30, block=5000)))}
+        assert 100 < len(got) < 1499
+
+
+def test_hot_nodes_in_blocks_give_the_same(make):
+    rows = [r for r, _ in corpus(groups=12, singles=30)]
+    rows += [doc(5000 + i, "the very same words again and again with one change " + "".join(chr(97 + int(c)) for c in str(i)) + " and a long tail of words that follow it") for i in range(120)]
+    a = {(r.doc_id, r.keep_id) for r in N.near_copies(make(rows)).collect()}
+    for hot in (20, 60):
+        assert {(r.doc_id, r.keep_id) for r in N.near_copies(make(rows), hot=hot, small=4, recall=0.999).collect()} == a
+    assert len(a) > 150
+
+
+def test_of_rows_with_one_id_the_smallest_text_stays(make):
+    rows = [doc(1, "zebra crossing here"), doc(1, "apple trees over there"), doc(1, None), doc(2, "quite another text"), doc(3, None, "de"), doc(3, None, "en")]
+    for n in (1, 5):
+        out = N.deduplicate(make(rows).repartition(n)).collect()
+        assert sorted((r.doc_id, r.text or "", r.lang) for r in out) == [(1, "apple trees over there", "en"), (2, "quite another text", "en"), (3, "", "de")]
+
+
+def test_ids_that_are_strings(make):
+    df = make([doc(4, "some words of a text"), doc(9, "some words of a text"), doc(None, "x")]).withColumn("doc_id", N.F.col("doc_id").cast("string"))
+    assert [tuple(r) for r in N.near_copies(df).collect()] == [(9, 4, True)]
+
+
 def test_odd_rows(make):
     assert [tuple(r) for r in N.near_copies(make(ODD)).collect()] == []
     out = N.deduplicate(make(ODD, clash=True))
