@@ -2,19 +2,22 @@
 
 Features of a text are its distinct words and the words' first four and five letters (inflected forms share these).
 A sparse logistic model is fitted on the driver on at most ``max_labelled`` labelled rows, chosen by a seeded hash of
-their id, and at most ``max_features`` features that occur in enough toxic rows and ``lift`` times as often there as
-in the others (four times that for stems); of a word, the one with the
-largest lift counts. For every labelled sentence with an identity term, counterfactuals swap the term for each other term of
-its group; the loss adds ``fairness`` times the mean squared change of the score over those pairs, so that no term of
-a group can raise a score that its siblings don't raise. A document's score is that of its worst sentence, so long clean
-texts don't add up; it is rejected from ``threshold`` on, which is fitted on the same rows: midway between the clean and
-toxic scores, 0.5 where they can't be parted.
+their id. Its features are all that occur in enough toxic rows of these and ``lift`` times as often there as in the others
+(four times that for stems); of a word, the one with the largest lift counts. A document's score is that of its worst
+sentence, in the fit as in use, and no less than that of a sentence without features, so long clean texts don't add up; a
+text without any feature is never rejected. For every
+labelled sentence with an identity term, counterfactuals swap the term for each other term of its group; the loss adds
+``fairness`` times the mean squared change of the score over those pairs, so that no term of a group can raise a score that
+its siblings don't raise. A document is rejected from ``threshold`` on, which is fitted on the same rows: midway between the
+clean and toxic scores, 0.5 where they can't be parted.
 
 Plan: ids are hashed and limited on the labels alone, the bounded sample is broadcast into one scan of the documents, its
 texts are written once and counted there; scoring is one Arrow pass with the broadcast model, no shuffle.
 
-Cases: labels that are NULL or of unknown documents are unused; documents labelled twice count twice. Without toxic or
-without clean rows nothing is rejected. NULL and empty texts score 0 and are kept. Other columns pass unchanged.
+Cases: labels that are NULL or of unknown documents are unused; documents labelled twice, and rows that repeat, count each for
+themselves. Without toxic or without clean rows nothing is rejected. NULL and empty texts score 0 and are kept, and so does
+an empty table. Very long texts are scored whole, sentence by sentence. Equal texts score alike, whatever their rows. Other
+columns pass unchanged; a column with the name of the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm._shared import batches, written
+from millrace.llm._shared import batches, fresh, written
 
-MAX_LABELLED, MAX_FEATURES, LIFT, FAIRNESS, L2, SEED = 20_000, 8192, 8.0, 10.0, 1e-5, 17
+MAX_LABELLED, LIFT, FAIRNESS, L2, SEED = 20_000, 8.0, 10.0, 1e-5, 17
 IDENTITY = (
     "women men girls boys", "woman man girl boy", "muslims christians jews hindus buddhists atheists", "muslim christian jewish hindu buddhist atheist",
     "black white asian latino arab", "gay straight lesbian bisexual transgender", "immigrants refugees foreigners natives", "disabled blind deaf elderly young",
@@ -119,17 +123,20 @@ def _csr(lists: list) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), n), np.fromiter((i for x in lists for i in x), np.int64, int(n.sum()))
 
 
-def fit_logistic(x: list, y: np.ndarray, plus: list, minus: list, n: int, fairness: float = FAIRNESS, l2: float = L2, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on mean log loss (classes weighted alike) + l2 |w|² + fairness · mean over pairs of (w·Δ)²."""
-    r, c = _csr(x)
-    pr, pc = _csr(plus)
-    mr, mc = _csr(minus)
-    w, b = np.zeros(n), 0.0
+def fit_logistic(x: list, y: np.ndarray, plus: list, minus: list, n: int, fairness: float = FAIRNESS, l2: float = L2, rounds: int = 400, owner: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on mean log loss (classes weighted alike) + l2 |w|² + fairness · mean over pairs of (w·Δ)². x are
+    sentences, owner their documents (rising; each its own by default), y is by document: its worst sentence counts."""
+    (r, c), (pr, pc), (mr, mc) = (_csr(k) for k in (x, plus, minus))
+    owner = np.arange(len(x)) if owner is None else owner
+    start, at = np.flatnonzero(np.diff(owner, prepend=-1)), np.arange(len(x))
+    w, b = np.full(n, 0.1), 0.0  # at first the sentence with the most features is the worst
     sw = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     m, v, pairs = np.zeros(n + 1), np.zeros(n + 1), max(1, len(plus))
     for t in range(1, rounds + 1):
         z = np.bincount(r, w[c], len(x)) + b
-        g = sw * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        worst = np.minimum.reduceat(np.where(z == np.maximum.reduceat(z, start)[owner], at, len(x)), start)
+        g = np.zeros(len(x))
+        g[worst] = sw * (1 / (1 + np.exp(-np.clip(z[worst], -30, 30))) - y)
         gw = np.bincount(c, g[r], n) + 2 * l2 * w
         if plus:
             d = np.bincount(pr, w[pc], len(plus)) - np.bincount(mr, w[mc], len(plus))
@@ -141,12 +148,12 @@ def fit_logistic(x: list, y: np.ndarray, plus: list, minus: list, n: int, fairne
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES,
-        lift: float = LIFT, fairness: float = FAIRNESS, groups: tuple[str, ...] = IDENTITY, seed: int = SEED) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, lift: float = LIFT, fairness: float = FAIRNESS,
+        groups: tuple[str, ...] = IDENTITY, seed: int = SEED) -> dict:
     """The model: {"weights": {feature: weight}, "bias", "threshold"}; ``labels`` has doc_id and toxic (0/1)."""
     sample = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).filter("i IS NOT NULL AND y IN (0, 1)")
     sample = sample.orderBy(F.xxhash64("i", F.lit(seed)), "i", "y").limit(max_labelled)
-    texts = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("d") == F.col("i"))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).join(F.broadcast(sample), F.col("d") == F.col("i"))
     texts = written(texts.select("t", "y"), "labelled")
     n = dict(texts.groupBy("y").count().collect())
     pos, neg = n.get(1, 0), n.get(0, 0)
@@ -158,59 +165,53 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic = feats.filter("y = 1").select(F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("p")).filter(F.col("p") >= least)
     clean = feats.filter("y = 0").select(F.explode("f").alias("f")).join(F.broadcast(toxic.select("f")), "f").groupBy("f").agg(F.count("*").alias("q"))
     score = (F.col("p") + 0.1) / pos / ((F.coalesce("q", F.lit(0)) + 0.5) / neg)
-    top = toxic.join(clean, "f", "left").filter(score >= F.when(F.col("f").bitwiseAND(1) == 1, 4 * lift).otherwise(lift)).orderBy(F.col("p").desc(), score.desc(), "f").limit(max_features)
+    # all of them: what the labelled rows hold bounds their number
+    top = toxic.join(clean, "f", "left").filter(score >= F.when(F.col("f").bitwiseAND(1) == 1, 4 * lift).otherwise(lift)).orderBy(F.col("p").desc(), score.desc(), "f")
     lifts = {r[0]: r[1] for r in top.select("f", score).collect()}
     index = {f: i for i, f in enumerate(lifts)}
     if not index:
         return none
     share = docs.sparkSession.sparkContext.broadcast
-    rows = texts.repartition(4).mapInArrow(_rows_pass(share(index), share(lifts), groups), "row long, y int, cf boolean, plus array<int>, minus array<int>")
-    got = rows.toArrow().to_pylist()
-    # a document's lines follow each other: a new one starts with the row that has no features
-    x, y, plus, minus, sentences = [], [], [], [], []
-    for g in got:
-        if g["cf"]:
-            plus.append(g["plus"])
-            minus.append(g["minus"])
-        elif not g["plus"]:
-            x.append(set())
-            sentences.append([])
-            y.append(g["y"])
-        else:
-            x[-1] |= set(g["plus"])
-            sentences[-1].append(g["plus"])
-    y = np.array(y)
-    w, b = fit_logistic([sorted(s) for s in x], y, plus, minus, len(index), fairness)
-    worst = np.array([max([b, *(b + sum(w[i] for i in s) for s in ss)]) for ss in sentences])
-    p = 1 / (1 + np.exp(-np.clip(worst, -30, 30)))
+    rows = texts.repartition(max(1, -(-(pos + neg) // 512))).mapInArrow(_rows_pass(share(index), share(lifts), groups), "row long, y int, cf boolean, plus array<int>, minus array<int>")
+    got = rows.toArrow().combine_chunks()
+    cf, labels_ = got["cf"].to_numpy(), got["y"].to_numpy()
+    plus, minus = (got[k].to_pylist() for k in ("plus", "minus"))
+    # a document's rows follow each other: a new one starts with the row that has no features
+    size = np.fromiter(map(len, plus), np.int64, len(plus))
+    first = ~cf & (size == 0)
+    doc = np.cumsum(first) - 1
+    own = np.flatnonzero(~cf)  # sentences with features, and one without any for each document
+    y, owner, sentences = labels_[first], doc[own], [plus[k] for k in own.tolist()]
+    pairs = np.flatnonzero(cf).tolist()
+    w, b = fit_logistic(sentences, y, [plus[k] for k in pairs], [minus[k] for k in pairs], len(index), fairness, owner=owner)
+    z = b + np.array([w[k].sum() for k in sentences])
+    p = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(z, np.flatnonzero(first[own])), -30, 30)))
     # midway between nearly all clean scores and nearly all toxic ones, if those part
     lo, hi = np.quantile(p[y == 0], 0.999), np.quantile(p[y == 1], 0.02)
     cut = float((lo + hi) / 2) if hi > lo else 0.5
+    cut = max(cut, float(np.nextafter(1 / (1 + np.exp(-np.clip(b, -30, 30))), 2)))  # no feature, no rejection
     return {"weights": {f: float(w[i]) for f, i in index.items()}, "lifts": lifts, "bias": b, "threshold": cut}
 
 
 def score_text(text: str | None, model: dict, memo: dict | None = None) -> float:
-    """The worst sentence's probability; 0 for a text with no feature of the model."""
+    """The probability of the worst sentence, or of one without features if that is larger; 0 for NULL and empty texts."""
     if not text:
         return 0.0
-    low, memo, best = text.lower(), {} if memo is None else memo, None
+    low, memo = text.lower(), {} if memo is None else memo
     weights, lifts, bias = model["weights"], model["lifts"], model["bias"]
-    hit = []
+    hit, best = set(), bias
     for w in set(WORD.findall(low)):
         f = memo.get(w)
         if f is None:
             f = memo[w] = known_feature(w, lifts) or 0
         if f:
-            hit.append(w)
-    if not hit:
-        return 0.0
-    hit = set(hit)
-    for s in SENTENCE.split(low):
-        ws = hit.intersection(WORD.findall(s))
-        if ws:
-            z = bias + sum(weights[x] for x in {memo[w] for w in ws})
-            best = z if best is None else max(best, z)
-    return 0.0 if best is None else float(1 / (1 + np.exp(-max(-30.0, min(30.0, best)))))
+            hit.add(w)
+    if hit:
+        for s in SENTENCE.split(low):
+            ws = hit.intersection(WORD.findall(s))
+            if ws:
+                best = max(best, bias + sum(weights[x] for x in {memo[w] for w in ws}))
+    return float(1 / (1 + np.exp(-max(-30.0, min(30.0, best)))))
 
 
 def _scorer(model, at: int, keep: list[int], name: str):
@@ -229,14 +230,10 @@ def _scorer(model, at: int, keep: list[int], name: str):
 
 def drop_toxic(df: DataFrame, model: dict, text: str = "text", columns: list[str] | None = None, score: str = "toxicity") -> DataFrame:
     """The rows that score below the threshold, with the given columns (all) and the score (unless that name is None)."""
-    keep = [df.columns.index(c) for c in (columns or df.columns)]
-    out = type(df.schema)([df.schema[i] for i in keep]).add("score", "double")
-    # the score comes last, under a name of its own, so that a column of the same name may stay
-    from millrace.llm._shared import fresh
-
+    kept = columns or df.columns
+    keep = [df.columns.index(c) for c in kept if score is None or c.lower() != score.lower()]
     (name,) = fresh(df, "score")
-    out[len(out) - 1].name = name
-    out.names[-1] = name
+    out = T.StructType([*(df.schema[i] for i in keep), T.StructField(name, T.DoubleType())])
     done = df.mapInArrow(_scorer(df.sparkSession.sparkContext.broadcast(model), df.columns.index(text), keep, name), out)
     return done.drop(name) if score is None else done.withColumnRenamed(name, score)
 
