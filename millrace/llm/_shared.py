@@ -11,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANED: set[str] = set()
+#: Paths of the tables written so far and not yet removed, with their sessions.
+_TABLES: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,28 +28,48 @@ def shared_dir(spark: SparkSession) -> str:
 
     where = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
     spark.conf.set("spark.checkpoint.dir", where)
+    _remember(spark, where)
     return where
 
 
 def written(df: DataFrame, label: str = "t") -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. The file goes when the driver ends."""
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. The files go with ``discard``, when the
+    session stops, or when the driver ends."""
     spark = df.sparkSession
-    base = shared_dir(spark)
-    path = f"{base}/millrace-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
+    _remember(spark, path)
     df.write.parquet(path)
-    if path not in _CLEANED:
-        _CLEANED.add(path)
-        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended before the interpreter; the folder's owner cleans up
-        pass
+def tables() -> set[str]:
+    """The paths of the written tables that are there."""
+    return set(_TABLES)
+
+
+def discard(paths: Iterable[str]) -> None:
+    """Removes written tables that nothing will read again."""
+    for path in list(paths):
+        spark = _TABLES.pop(path, None)
+        if spark is not None and spark.sparkContext._jsc is not None:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    """Has path removed before the session's context stops; a driver that ends without that stops it at its exit."""
+    _TABLES[path] = spark
+    sc = spark.sparkContext
+    if not hasattr(sc, "_millrace_stop"):
+        sc._millrace_stop = sc.stop
+
+        def stop() -> None:
+            if sc._jsc is not None:
+                discard([k for k, v in _TABLES.items() if v.sparkContext is sc])
+            sc._millrace_stop()
+
+        sc.stop = stop
+        atexit.register(lambda: sc._jsc is not None and discard([k for k, v in _TABLES.items() if v.sparkContext is sc]))
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -4,8 +4,7 @@ Normalised lines are hashed with their host; a line's frequency is the number of
 copies count once) of the host that hold it. Lines above the limit of ``min_docs`` documents are removed from all documents
 of the host; the limit is the same for hosts of all sizes, unless a ``share`` of the host's documents is given, which then
 counts where it is larger. A document is rejected as depleted when nothing but blanks remains, or when less than
-``keep_percent`` of its normalised characters remain. The SQL below has a share of 0.5 %: it gives the same rows as long as
-no host has more than 1,000 distinct documents, and keeps more lines of larger hosts.
+``keep_percent`` of its normalised characters remain.
 
 Plan: one Arrow pass gives (host, line hash, content hash), two shuffles of those 24-byte rows give the frequencies, and
 a second pass edits each text where it lies, so that no text is shuffled. The flagged hashes are broadcast while there are
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import batches, bounded_array, fresh, written
 
 MIN_DOCS, KEEP_PERCENT, BROADCAST_KEYS = 5, 30, 2_000_000
-SHARE = 0.005  # of the SQL only
 
 
 def _signed(h: int) -> int:
@@ -49,6 +47,11 @@ def line_key(seed: int, norm: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass"), seed=seed))
 
 
+def line_keys(host: str | None, norms: list[str]) -> list[int]:
+    seed = host_seed(host)
+    return [line_key(seed, n) if n else 0 for n in norms]
+
+
 def _count_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, host) to (host, key, content); key NULL stands for the document itself."""
     for b in batches(it):
@@ -85,12 +88,12 @@ def _edit(text: str | None, host: str | None, bad, keep_percent: int) -> tuple[s
     """The text without flagged lines, and how many went; (None, _) if it is depleted."""
     if text is None:
         return None, 0
-    seed, lines = host_seed(host), text.split("\n")
+    lines = text.split("\n")
     norms = [normal(x) for x in lines]
     total = sum(map(len, norms))
     if not total:
         return None, 0
-    gone = [bool(n) and bad(line_key(seed, n)) for n in norms]
+    gone = [bool(n) and k in bad for n, k in zip(norms, line_keys(host, norms))]
     if not any(gone):
         return text, 0
     left = sum(len(n) for n, g in zip(norms, gone) if not g)
@@ -103,11 +106,16 @@ def _editor(found, keep_percent: int, at: int, host_at: int, n_at: int | None, r
     """mapInArrow body over all columns: found is a broadcast sorted array of keys."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad = set(found.value.tolist()).__contains__
+        flagged = found.value
         for b in batches(it, column=at):
-            done = [_edit(t, h, bad, keep_percent) for t, h in zip(b.column(at).to_pylist(), b.column(host_at).cast(pa.string()).to_pylist())]
+            rows = list(zip(b.column(at).to_pylist(), b.column(host_at).cast(pa.string()).to_pylist()))
+            # one search in the sorted array for a batch's keys, instead of a set of all flagged ones in each task
+            keys = np.array([k for t, h in rows if t for k in line_keys(h, list(map(normal, t.split("\n"))))], np.int64)
+            place = np.minimum(np.searchsorted(flagged, keys), len(flagged) - 1) if len(flagged) else None
+            bad = set(keys[flagged[place] == keys].tolist()) if place is not None else set()
+            done = [_edit(t, h, bad, keep_percent) for t, h in rows]
             keep = np.array([t is not None for t, _ in done], dtype=bool)
-            cols = list(b.columns)
+            cols = [*b.columns]
             texts = [t for t, _ in done]
             cols[at] = pa.array(texts, pa.string())
             if n_at is not None:
@@ -126,7 +134,9 @@ def drop_frequent_lines(
     keep_percent: int = KEEP_PERCENT, broadcast_keys: int = BROADCAST_KEYS, length: str = "n_chars", with_removed: bool = False,
 ) -> DataFrame:
     """df's rows that are not depleted, with the flagged lines removed (see the module); ``with_removed`` adds
-    ``lines_removed`` (df may have no such column then)."""
+    ``lines_removed``, which replaces a column of that name."""
+    if with_removed:
+        df = df.drop(*(c for c in df.columns if c.lower() == "lines_removed"))
     flagged = written(flagged_lines(df, text, host, min_docs, share), "flagged")
     keys = bounded_array(flagged, broadcast_keys)
     at, host_at = df.columns.index(text), df.columns.index(host)
@@ -183,9 +193,7 @@ l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
       generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
 n AS (SELECT *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS norm FROM l),
 df AS (SELECT source, norm, count(DISTINCT text) AS n FROM n WHERE norm <> '' GROUP BY source, norm),
-hosts AS (SELECT source, count(DISTINCT text) AS docs FROM docs GROUP BY source),
-bad AS (SELECT df.source, df.norm FROM df JOIN hosts ON df.source IS NOT DISTINCT FROM hosts.source
-        WHERE df.n > greatest({MIN_DOCS}, ceil(hosts.docs * {SHARE}))),
+bad AS (SELECT df.source, df.norm FROM df WHERE df.n > {MIN_DOCS}),
 m AS (SELECT n.*, bad.norm IS NOT NULL AS gone FROM n LEFT JOIN bad ON n.source IS NOT DISTINCT FROM bad.source AND n.norm = bad.norm),
 e AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text,
       count(*) FILTER (WHERE gone) AS lines_removed, sum(length(norm)) AS total,

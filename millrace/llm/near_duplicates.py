@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm._shared import batches, fresh, written
+from millrace.llm._shared import batches, discard, fresh, tables, written
 
 BITS, RADIUS, RECALL, SMALL, SPREAD, TRIES, SEED = 256, 48, 0.92, 256, 3, 20, 41
 HOT, PIVOTS, MOST_SPLIT = 262_144, 64, 10_000
@@ -304,7 +304,9 @@ def _search(left: int, deepest: int, radius: int, small: int):
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (a, b): every linked node but the smallest of its component, with that one."""
+    old = tables()
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mine = tables() - old  # the table of the round before is not read again
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -313,7 +315,10 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: link a node's smaller neighbours, and itself, to the smallest
         low = F.min("b").over(Window.partitionBy("a"))
         small = large.withColumn("m", low).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        old = tables()
         edges = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+        discard(x for x in old if x in mine)
+        mine = tables() - old
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == before:
             return edges

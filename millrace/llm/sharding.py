@@ -12,7 +12,8 @@ their shard, where they come to lie in order.
 
 Cases: a NULL source is a source of its own. Rows without id are ordered by a hash of their text; repeated rows are ordered
 by a hash of all their columns, and equal rows are interchangeable. An empty table gives an empty table. Other columns
-pass unchanged; ``shard`` and ``position`` (from 0) are added and must not be there yet.
+pass unchanged; ``shard`` and ``position`` (from 0) are added and replace columns of these names. The document id may be of
+any type that casts to a string.
 """
 
 from __future__ import annotations
@@ -56,22 +57,23 @@ def shard(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """df with ``shard`` and ``position``, clustered by shard and in order within it (see the module)."""
-    s, h, b, r, f, cell, tie = fresh(df, "src", "h", "b", "r", "f", "cell", "tie")
+    df = df.drop(*(c for c in df.columns if c.lower() in ("shard", "position")))
+    s, h, b, r, f, cell, tie, wide = fresh(df, "src", "h", "b", "r", "f", "cell", "tie", "width")
     src = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit(""))
     hashed = df.select(src.alias("s"), _hash(seed, doc_id, text).alias("h"))
     counts = written(hashed.groupBy("s").agg(F.count("*").alias("n")), "sources")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // rows_per_shard))
     counts = counts.withColumn("width", F.expr(f"shiftleft(1L, cast(60 - greatest(0, ceil(log2(n / {float(bucket_rows)}))) as int))"))
-    bucket = lambda h: F.expr(f"cast(conv(substr({h}, 1, 15), 16, 10) as bigint) div width")
+    bucket = lambda h, width="width": F.expr(f"cast(conv(substr({h}, 1, 15), 16, 10) as bigint) div `{width}`")
     offsets = hashed.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "s").groupBy("s", bucket("h").alias("b"), "n", "width").count()
     before = F.sum("count").over(Window.partitionBy("s").orderBy("b")) - F.col("count")
     offsets = written(offsets.select("s", "b", before.alias("offset")), "offsets")
     cells = written(cut_table(counts, total, shards), "cuts")
     plain = [x.name for x in df.schema if not _has_map(x.dataType)]
     rows = df.withColumns({s: src, h: _hash(seed, doc_id, text), tie: F.xxhash64(*(F.col(f"`{x}`") for x in plain))})
-    sized = counts.select(F.col("s").alias(s), F.col("n").alias(f"{h}n"), "width")
-    rows = rows.join(F.broadcast(sized) if counts.count() <= BROADCAST_ROWS else sized, s).withColumn(b, bucket(f"`{h}`")).drop("width")
+    sized = counts.select(F.col("s").alias(s), F.col("n").alias(f"{h}n"), F.col("width").alias(wide))
+    rows = rows.join(F.broadcast(sized) if counts.count() <= BROADCAST_ROWS else sized, s).withColumn(b, bucket(f"`{h}`", wide)).drop(wide)
     rank = F.row_number().over(Window.partitionBy(s, b).orderBy(h, tie))
     rows = rows.withColumn(r, rank).join(offsets.select(F.col("s").alias(s), F.col("b").alias(b), F.col("offset").alias(f"{h}o")), [s, b])
     rows = rows.withColumn(f, (F.col(r) + F.col(f"{h}o") - 0.5) / F.col(f"{h}n")).withColumn(cell, F.least(F.floor(F.col(f) * shards), F.lit(shards - 1)))

@@ -79,3 +79,23 @@ def test_sql(make, duck):
     got = canon(L.drop_frequent_lines(df, with_removed=True))
     # the two differ on blanks that are not ASCII
     assert got == duck(L.ORACLE, documents=df)
+
+
+def test_a_column_named_lines_removed_is_replaced(make):
+    from pyspark.sql import functions as F
+
+    rows = [doc(i, f"shared line of all\nown line number {i} of this host") for i in range(9)]
+    for keys in (L.BROADCAST_KEYS, 0):
+        out = L.drop_frequent_lines(make(rows).withColumn("Lines_Removed", F.lit("x")), with_removed=True, broadcast_keys=keys)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "lines_removed"]
+        assert {r.lines_removed for r in out.collect()} == {1}
+
+
+def test_the_limit_does_not_grow_with_the_host(make, duck):
+    rows = [doc(i, f"own line {i} with words\n" + ("in six documents" if i < 6 else "in five of them" if i < 11 else f"alone {i}")) for i in range(2500)]
+    df = make(rows)
+    out = L.drop_frequent_lines(df, with_removed=True)
+    assert out.filter("lines_removed > 0").count() == 6
+    from .conftest import canon
+
+    assert canon(out) == duck(L.ORACLE, documents=df)

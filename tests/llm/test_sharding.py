@@ -46,3 +46,20 @@ def test_wide_cut_table(spark):
 
 def test_empty(make):
     assert S.shard(make([])).count() == 0
+
+
+def test_columns_with_the_names_of_its_own(make, duck):
+    df = make([r for r in corpus(200) if r[0] is not None and r[0] != 6])
+    for c in ("width", "n", "s"):
+        df = df.withColumn(c, F.lit("kept"))
+    out = S.shard(df.withColumn("Shard", F.lit(1)).withColumn("position", F.lit(2)), rows_per_shard=9, bucket_rows=4)
+    assert out.columns == [*df.columns, "shard", "position"]
+    assert out.filter("width <> 'kept' or n <> 'kept' or s <> 'kept'").count() == 0
+    assert canon(out.drop("width", "n", "s")) == canon(S.shard(df.drop("width", "n", "s"), rows_per_shard=9, bucket_rows=4))
+
+
+def test_ids_that_are_strings_and_repeated_rows(make):
+    rows = corpus(60) * 2
+    out = S.shard(make(rows).withColumn("doc_id", F.col("doc_id").cast("string")), rows_per_shard=10).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((None if r[0] is None else str(r[0]), r[1]) for r in rows)
+    assert sorted((r.shard, r.position) for r in out) == sorted((s, p) for s in range(max(r.shard for r in out) + 1) for p in range(sum(r.shard == s for r in out)))
