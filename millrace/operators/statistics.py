@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def covariance(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,11 +17,30 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.corr(a, b).alias("corr"))
 
 
-def quantiles(df: DataFrame, column: str, probabilities: list[float], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """(p, value), a row for each probability; exact and interpolated, or a sketch of bounded size."""
-    ps = F.array(*[F.lit(float(p)) for p in probabilities])
-    values = F.percentile(column, ps) if exact else F.percentile_approx(column, [float(p) for p in probabilities], accuracy)
-    return df.agg(F.arrays_zip(ps.alias("p"), values.alias("value")).alias("z")).select(F.inline("z"))
+def quantiles(df: DataFrame, column: str, probabilities: list[float], by: tuple[str, ...] = (), exact: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """(by columns, p, value) for each group and probability: from a sketch of bounded size, or exact and interpolated.
+
+    The exact value comes from the ranks around it. The sketch, whose rank error is at most rows / accuracy, gives limits
+    that surely hold them; rows below are only counted, and what lies between, some 4 / accuracy of the rows, is counted by
+    distinct value, so no task sorts a whole group."""
+    ps, v = [float(p) for p in probabilities], F.col(column)
+    base = df.filter(v.isNotNull()).select(*by, v.alias("__v"))
+    if not exact:
+        found = base.groupBy(*by).agg(F.percentile_approx("__v", ps, accuracy).alias("value"))
+        zipped = F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), F.col("value"))
+        return found.select(*by, F.inline(zipped).alias("p", "value"))
+    around = [max(0.0, p - 2 / accuracy) for p in ps] + [min(1.0, p + 2 / accuracy) for p in ps]
+    limits = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", around, accuracy).alias("__q"))
+    each = F.array(*[F.struct(F.lit(p).alias("p"), F.col("__q")[k].alias("lo"), F.col("__q")[k + len(ps)].alias("hi")) for k, p in enumerate(ps)])
+    limits = limits.select(*by, "__n", F.inline(each).alias("p", "__lo", "__hi"))
+    rows = base.join(limits, list(by)) if by else base.crossJoin(F.broadcast(limits))  # without groups a row a probability
+    place = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0)
+    counts = rows.withColumn("__at", place).groupBy(*by, "p", "__n", "__at", F.when(place == 0, F.col("__v")).alias("__k")).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__v"))
+    through = F.sum("__c").over(Window.partitionBy(*by, "p").orderBy("__at", "__v"))
+    rank = (F.col("__n") - 1) * F.col("p")
+    low, high = (F.min_by("__v", F.when(F.col("__t") > r, F.col("__t"))) for r in (F.floor(rank), F.ceil(rank)))
+    out = counts.withColumn("__t", through).groupBy(*by, "p", "__n").agg(low.alias("__a"), high.alias("__b"))
+    return out.select(*by, "p", (F.col("__a") + (F.col("__b") - F.col("__a")) * (rank - F.floor(rank))).alias("value"))
 
 
 def frequent_items(df: DataFrame, columns: list[str], support: float) -> DataFrame:
@@ -36,6 +56,23 @@ def cross_tabulation(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sample_by(df: DataFrame, column: str, fractions: dict, seed: int) -> DataFrame:
-    """Bernoulli sample by stratum; strata without a fraction are left out."""
-    return df.sampleBy(column, fractions, seed)
+def sample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+    """Bernoulli sample by a seeded hash of the key: the same rows on any cluster, in any partitioning and after a retry."""
+    return df.filter(_share(key, seed) < F.lit(_limit(fraction)))
+
+
+def sample_by(df: DataFrame, column: str, fractions: dict, key: str, seed: int) -> DataFrame:
+    """The same by stratum; strata without a fraction are left out."""
+    limit = F.lit(None).cast("string")
+    for value, fraction in fractions.items():
+        limit = F.when(F.col(column) == F.lit(value), F.lit(_limit(fraction))).otherwise(limit)
+    return df.filter(_share(key, seed) < limit)
+
+
+def _share(key: str, seed: int) -> Column:
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 8)
+
+
+def _limit(fraction: float) -> str:
+    """That share of 2^32 in hexadecimal; hashes compare as texts."""
+    return "g" if fraction >= 1 else f"{max(0, int(fraction * 2**32)):08x}"

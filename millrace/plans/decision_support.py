@@ -64,7 +64,7 @@ SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue ON s_suppkey
 S("q16_supplier_count", "part lineitem supplier", """
 SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem JOIN part ON p_partkey = l_partkey
 WHERE p_brand <> 'Brand#4' AND p_type NOT LIKE 'SMALL%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3)
-AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size""", "Q3 A4")
+AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal < 0) GROUP BY p_brand, p_type, p_size""", "Q3 A4")
 S("q17_small_quantity", "lineitem part", """
 SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
 WHERE p_brand = 'Brand#2' AND l_quantity < (SELECT 0.4 * avg(i.l_quantity) FROM lineitem i WHERE i.l_partkey = p_partkey)""", "Q1")

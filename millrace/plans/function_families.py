@@ -93,14 +93,19 @@ A6 = lambda f: f"round({f}, 6)"
 family("fn_agg_basic", "lineitem", "l_returnflag", [
     ("sum_i", "sum(l_linenumber)", B("sum(l_linenumber)")), ("sum_d", "round(sum(l_extendedprice), 2)", None), ("avg", A6("avg(l_quantity)"), None), ("mean", A6("mean(l_tax)"), None), ("min", "min(l_shipdate)", None), ("max", "max(l_extendedprice)", None),
     ("count", "count(*)", None), ("count_col", "count(nullif(l_linenumber, 1))", None), *((f, A6(f"{f}(l_quantity)"), None) for f in "stddev stddev_samp stddev_pop variance var_samp var_pop".split()), ("count_if", "count_if(l_tax > 0.04)", B("count_if(l_tax > 0.04)")),
-    ("median", A6("median(l_extendedprice)"), None), ("mode", "mode(l_linenumber * 0 + 3)", None), ("max_by", "max_by(l_orderkey, l_orderkey * 10 + l_linenumber)", None), ("min_by", "min_by(l_orderkey, l_orderkey * 10 + l_linenumber)", None),
-    ("any_value", "any_value(l_returnflag)", None), ("count_distinct", "count(DISTINCT l_suppkey)", None), ("count_distinct_2", "count(DISTINCT l_suppkey, nullif(l_linenumber, 2))", "count(DISTINCT (l_suppkey, l_linenumber)) FILTER (WHERE l_linenumber <> 2)"),
-    ("sum_distinct", "sum(DISTINCT l_linenumber)", B("sum(DISTINCT l_linenumber)")), ("avg_distinct", "avg(DISTINCT l_linenumber)", None), ("filter_clause", "sum(l_linenumber) FILTER (WHERE l_tax > 0.05)", B("sum(l_linenumber) FILTER (WHERE l_tax > 0.05)")),
+    ("median", A6("median(l_quantity)"), None), ("mode", "mode(l_linenumber)", None), ("max_by", "max_by(l_orderkey, l_orderkey * 10 + l_linenumber)", None), ("min_by", "min_by(l_orderkey, l_orderkey * 10 + l_linenumber)", None),
+    ("any_value", "any_value(l_returnflag)", None), ("filter_clause", "sum(l_linenumber) FILTER (WHERE l_tax > 0.05)", B("sum(l_linenumber) FILTER (WHERE l_tax > 0.05)")),
 ], tail="GROUP BY l_returnflag")
+# one set of distinct arguments a query: several would copy each row once for each
+family("fn_agg_distinct", "lineitem", "l_returnflag", [("count_distinct", "count(DISTINCT l_suppkey)", None), ("n", "count(*)", None)], tail="GROUP BY l_returnflag")
+family("fn_agg_distinct_pair", "lineitem", "l_returnflag", [
+    ("count_distinct_2", "count(DISTINCT l_suppkey, nullif(l_linenumber, 2))", "count(DISTINCT (l_suppkey, l_linenumber)) FILTER (WHERE l_linenumber <> 2)"),
+], tail="GROUP BY l_returnflag")
+family("fn_agg_distinct_sum", "lineitem", "l_returnflag", [("sum_distinct", "sum(DISTINCT l_linenumber)", B("sum(DISTINCT l_linenumber)")), ("avg_distinct", "avg(DISTINCT l_linenumber)", None)], tail="GROUP BY l_returnflag")
 family("fn_agg_logic_bits", "lineitem", "l_linestatus", [
     ("bool_and", "bool_and(l_quantity > 0)", None), ("every", "every(l_tax > 0.01)", "bool_and(l_tax > 0.01)"), ("bool_or", "bool_or(l_tax > 0.07)", None), ("some", "some(l_tax > 0.9)", "bool_or(l_tax > 0.9)"), ("any_b", "any(l_tax > 0.07)", "bool_or(l_tax > 0.07)"),
     ("bit_and", "bit_and(l_linenumber)", None), ("bit_or", "bit_or(l_linenumber)", None), ("bit_xor", "bit_xor(l_orderkey)", None), ("percentile", A6("percentile(l_quantity, 0.3)"), A6("quantile_cont(l_quantity, 0.3)")),
-    ("percentile_approx", "percentile_approx(l_orderkey, 0.5, 1000000)", "quantile_disc(l_orderkey, 0.5)"), ("approx_percentile", "approx_percentile(l_linenumber, 0.25, 1000000)", "quantile_disc(l_linenumber, 0.25)"), ("within_group", A6("percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice)"), None),
+    ("percentile_approx", "percentile_approx(l_orderkey, 0.5, 1000000)", "quantile_disc(l_orderkey, 0.5)"), ("approx_percentile", "approx_percentile(l_linenumber, 0.25, 1000000)", "quantile_disc(l_linenumber, 0.25)"), ("within_group", A6("percentile_cont(0.9) WITHIN GROUP (ORDER BY l_quantity)"), None),
     ("kurtosis", A6("kurtosis(l_quantity)"), A6("kurtosis_pop(l_quantity)")), ("skewness", A6("skewness(l_extendedprice)"), A6("(avg(l_extendedprice ** 3) - 3 * avg(l_extendedprice) * avg(l_extendedprice ** 2) + 2 * avg(l_extendedprice) ** 3) / power(var_pop(l_extendedprice), 1.5)")),
 ], tail="GROUP BY l_linestatus")
 family("fn_agg_regression", "lineitem", "l_returnflag", [

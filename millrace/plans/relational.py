@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.operators import statistics as stat
 from millrace.registry import REGISTRY, Tables
 
 q, S = REGISTRY.query, REGISTRY.sql
@@ -194,8 +195,24 @@ def unpivot(t: Tables) -> DataFrame:
 # --- windows
 W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 I = "CAST({} AS INT)".format  # noqa: E741
-S("w_ranks", "orders", f"""SELECT o_orderkey, {I('row_number() OVER w')} AS rn, {I('rank() OVER v')} AS rk, {I('dense_rank() OVER v')} AS dr, round(percent_rank() OVER v, 6) AS pr,
-round(cume_dist() OVER v, 6) AS cd, {I('ntile(4) OVER w')} AS nt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_orderstatus ORDER BY o_orderdate)""", "W1 W6 row_number rank dense_rank percent_rank cume_dist ntile")
+@q("w_ranks", "W1 W6 row_number rank dense_rank percent_rank cume_dist ntile", f"""SELECT o_orderkey, {I('row_number() OVER w')} AS rn, {I('rank() OVER v')} AS rk, {I('dense_rank() OVER v')} AS dr, round(percent_rank() OVER v, 6) AS pr,
+round(cume_dist() OVER v, 6) AS cd, {I('ntile(4) OVER w')} AS nt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_orderstatus ORDER BY o_orderdate)""")
+def ranks(t: Tables) -> DataFrame:
+    """Ranks within three statuses come from counts by status and date, a table as long as the calendar, joined back to the
+    rows: a window over the rows themselves would be three tasks at any size."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    v = Window.partitionBy("o_orderstatus").orderBy("o_orderdate")
+    dates = t.orders.groupBy("o_orderstatus", "o_orderdate").agg(F.count(F.lit(1)).alias("c"))
+    dates = dates.withColumns({"upto": F.sum("c").over(v), "dr": F.row_number().over(v), "total": F.sum("c").over(Window.partitionBy("o_orderstatus"))})
+    dates = dates.select(F.col("o_orderstatus").alias("s"), F.col("o_orderdate").alias("d"), "c", "upto", "dr", "total")
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate", F.row_number().over(w).alias("rn"), F.ntile(4).over(w).alias("nt"))
+    rk = F.col("upto") - F.col("c") + 1
+    return rows.join(dates, F.col("o_orderstatus").eqNullSafe(F.col("s")) & F.col("o_orderdate").eqNullSafe(F.col("d"))).select(
+        "o_orderkey", "rn", rk.cast("int").alias("rk"), "dr", F.round(F.when(F.col("total") > 1, (rk - 1) / (F.col("total") - 1)).otherwise(0.0), 6).alias("pr"),
+        F.round(F.col("upto") / F.col("total"), 6).alias("cd"), "nt",
+    )
+
+
 S("w_lag_lead", "events", f"""SELECT event_id, lag(value) OVER {W} AS prev, lead(value, 2) OVER {W} AS nxt2, lag(value, 1, -1.0D) OVER {W} AS prev0, first_value(event_type) OVER {W} AS f,
 last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, nth_value(event_id, 2) OVER {W} AS n2 FROM events""", "W1 lag lead first last nth_value",
   f"""SELECT event_id, lag(value) OVER {W} AS prev, lead(value, 2) OVER {W} AS nxt2, lag(value, 1, -1.0) OVER {W} AS prev0, first_value(event_type) OVER {W} AS f,
@@ -260,16 +277,30 @@ def distinct(t: Tables) -> DataFrame:
     return t.documents.select("lang", "source").distinct()
 
 
-@q("o_drop_duplicates", "O6", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+@q("o_drop_duplicates", "O6", "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
 def drop_duplicates(t: Tables) -> DataFrame:
-    """One row a key; which one is fixed by an aggregate, as dropDuplicates keeps any."""
-    kept = t.orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
-    return kept.dropDuplicates(["o_custkey"]).select("o_custkey", "o_orderkey")
+    """One row a key with all its columns. Which one is fixed by an order, unlike dropDuplicates, and found by an aggregate
+    with partial results, so a key with very many rows is no single task's, unlike with a window."""
+    d = t.orders
+    order = F.struct(F.datediff(F.lit("1970-01-01"), "o_orderdate"), -F.unix_micros(F.col("o_orderdate").cast("timestamp")), "o_orderkey")
+    return d.groupBy("o_custkey").agg(F.min_by(F.struct(*d.columns), order).alias("r")).select("r.*")
+
 
+@q("o_drop_duplicates_any", "O6", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def drop_duplicates_any(t: Tables) -> DataFrame:
+    return t.lineitem.dropDuplicates(["l_returnflag", "l_linestatus"]).select("l_returnflag", "l_linestatus")
 
-@q("o_sample", "O7")
+
+@q("o_sample", "O7", "SELECT o_orderkey FROM orders WHERE substr(md5('11|' || o_orderkey), 1, 8) < '19999999'")
 def sample(t: Tables) -> DataFrame:
-    return t.orders.sample(0.1, seed=11)
+    return stat.sample(t.orders, "o_orderkey", 0.1, 11).select("o_orderkey")
+
+
+@q("o_table_sample", "O7", "SELECT n_nationkey FROM nation")
+def table_sample(t: Tables) -> DataFrame:
+    """TABLESAMPLE at its edges: all rows, and none."""
+    s = t.views("nation")
+    return s.sql("SELECT n_nationkey FROM nation TABLESAMPLE (100 PERCENT) UNION ALL SELECT n_nationkey FROM nation TABLESAMPLE (0 ROWS)")
 
 
 # --- set operations

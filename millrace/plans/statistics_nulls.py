@@ -71,7 +71,7 @@ def corr(t: Tables) -> DataFrame:
 SELECT 0.1::DOUBLE AS p, round(quantile_cont(l_extendedprice, 0.1), 6) AS value FROM lineitem UNION ALL SELECT 0.5::DOUBLE, round(quantile_cont(l_extendedprice, 0.5), 6) FROM lineitem
 UNION ALL SELECT 0.9::DOUBLE, round(quantile_cont(l_extendedprice, 0.9), 6) FROM lineitem""")
 def quantiles(t: Tables) -> DataFrame:
-    return stat.quantiles(t.lineitem, "l_extendedprice", [0.1, 0.5, 0.9]).select("p", F.round("value", 6).alias("value"))
+    return stat.quantiles(t.lineitem, "l_extendedprice", [0.1, 0.5, 0.9], exact=True).select("p", F.round("value", 6).alias("value"))
 
 
 @q("t_crosstab", "T6", "SELECT lang, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, quality")
@@ -82,7 +82,10 @@ def crosstab(t: Tables) -> DataFrame:
 @q("t_crosstab_wide", "T6", """SELECT o_orderstatus AS o_orderstatus_o_orderpriority, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS "1-URGENT", count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS "2-HIGH",
 count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS "3-MEDIUM", count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED') AS "4-NOT SPECIFIED", count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS "5-LOW" FROM orders GROUP BY o_orderstatus""")
 def crosstab_wide(t: Tables) -> DataFrame:
-    return t.orders.stat.crosstab("o_orderstatus", "o_orderpriority")
+    """The wide form as a pivot over given values: nothing goes through the driver, unlike stat.crosstab."""
+    values = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    wide = t.orders.groupBy(F.col("o_orderstatus").alias("o_orderstatus_o_orderpriority")).pivot("o_orderpriority", values).count()
+    return wide.na.fill(0, values)
 
 
 @q("t_freq_items", "T7", """SELECT 'lang' AS "column", lang AS item, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= (SELECT count(*) FROM documents) * 0.15
@@ -91,6 +94,19 @@ def freq_items(t: Tables) -> DataFrame:
     return stat.frequent_items(t.documents, ["lang", "source"], 0.15)
 
 
-@q("t_sample_by", "T8")
+@q("t_quantiles_by", "T5", """SELECT l_returnflag, 0.25::DOUBLE AS p, round(quantile_cont(l_extendedprice, 0.25), 6) AS value FROM lineitem GROUP BY 1
+UNION ALL SELECT l_returnflag, 0.99::DOUBLE, round(quantile_cont(l_extendedprice, 0.99), 6) FROM lineitem GROUP BY 1""")
+def quantiles_by(t: Tables) -> DataFrame:
+    return stat.quantiles(t.lineitem, "l_extendedprice", [0.25, 0.99], ("l_returnflag",), exact=True).withColumn("value", F.round("value", 6))
+
+
+@q("t_summary_moments", "T2", """SELECT 'mean' AS summary, round(avg(l_quantity), 6) AS v FROM lineitem UNION ALL SELECT 'stddev', round(stddev(l_quantity), 6) FROM lineitem UNION ALL SELECT 'count', count(l_quantity)::DOUBLE FROM lineitem
+UNION ALL SELECT 'min', min(l_quantity) FROM lineitem UNION ALL SELECT 'max', max(l_quantity) FROM lineitem""")
+def summary_moments(t: Tables) -> DataFrame:
+    """The default list without its approximate quartiles."""
+    return t.lineitem.select("l_quantity").summary().filter("summary NOT LIKE '%\\%'").select("summary", F.round(F.col("l_quantity").cast("double"), 6).alias("v"))
+
+
+@q("t_sample_by", "T8", """SELECT o_orderkey, o_orderstatus FROM orders WHERE substr(md5('5|' || o_orderkey), 1, 8) < CASE o_orderstatus WHEN 'F' THEN '33333333' WHEN 'O' THEN '80000000' END""")
 def sample_by(t: Tables) -> DataFrame:
-    return stat.sample_by(t.orders, "o_orderstatus", {"F": 0.2, "O": 0.5}, 5)
+    return stat.sample_by(t.orders, "o_orderstatus", {"F": 0.2, "O": 0.5}, "o_orderkey", 5).select("o_orderkey", "o_orderstatus")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.registry import REGISTRY, Tables
+from millrace.session import at_stop
 from millrace.sources import files
 
 q = REGISTRY.query
@@ -18,9 +19,10 @@ def some_orders(t: Tables) -> DataFrame:
 
 
 def database(t: Tables) -> str:
-    """A new database in the shared folder."""
+    """A new database in the shared folder; it goes when the session stops."""
     name = f"db_{uuid.uuid4().hex[:12]}"
     t.spark.sql(f"CREATE DATABASE {name} LOCATION '{files.scratch(t.spark, 'db')}'")
+    at_stop(t.spark, lambda: t.spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE"))
     return name
 
 
@@ -137,12 +139,54 @@ def cache(t: Tables) -> DataFrame:
     if not c.isCached(f"{db}.e"):
         raise RuntimeError("the table isn't cached")
     c.uncacheTable(f"{db}.e")
+    c.cacheTable(f"{db}.e")
+    c.clearCache()
+    if c.isCached(f"{db}.e"):
+        raise RuntimeError("the cache isn't empty")
     c.refreshTable(f"{db}.e")
     c.refreshByPath(path)
     return t.spark.table(f"{db}.e").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("c_explain", "EXPLAIN analyze config", "SELECT true AS pushed, true AS same_conf")
+@q("c_external_table", "createExternalTable dropTempView", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def external_table(t: Tables) -> DataFrame:
+    """A table over files that are there, by the catalog's calls, and a temporary view made and dropped by them."""
+    db, c = database(t), t.spark.catalog
+    path = files.write(some_orders(t), files.scratch(t.spark, "ext"))
+    c.createTable(f"{db}.x", path, "parquet")
+    name = f"v_{uuid.uuid4().hex[:12]}"
+    t.spark.table(f"{db}.x").createTempView(name)
+    found = t.spark.table(name).filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
+    if not c.dropTempView(name) or c.dropTempView(name):
+        raise RuntimeError("the view wasn't there, or still is")
+    return found
+
+
+@q("k_permanent_view", "K9", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def permanent_view(t: Tables) -> DataFrame:
+    db, s = database(t), t.views("orders")
+    s.sql(f"CREATE TABLE {db}.o USING parquet AS SELECT o_orderkey, o_orderstatus FROM orders")
+    s.sql(f"CREATE VIEW {db}.v (status, n) AS SELECT o_orderstatus, count(*) AS n FROM {db}.o GROUP BY o_orderstatus")
+    return s.table(f"{db}.v").withColumnRenamed("status", "o_orderstatus")
+
+
+@q("k_csv_options", "K4", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name || ', \"x\"; y' END AS n_name, DATE '2024-02-29' AS d FROM nation")
+def csv_options(t: Tables) -> DataFrame:
+    """Quotes inside quoted fields, an escape, a NULL marker and a date format survive the round trip."""
+    how = {"header": "true", "sep": ";", "quote": "'", "escape": "!", "nullValue": "NIL", "dateFormat": "dd/MM/yyyy"}
+    d = t.nation.select("n_nationkey", F.when(F.col("n_nationkey") % 3 != 0, F.concat("n_name", F.lit(', "x"; y'))).alias("n_name"), F.to_date(F.lit("2024-02-29")).alias("d"))
+    return files.read_csv(t.spark, files.write(d, files.scratch(t.spark, "csv"), "csv", **how), "n_nationkey int, n_name string, d date", **how)
+
+
+@q("k_arrow_batches", "K10 K11", "SELECT count(*) AS n, true AS shown FROM region")
+def arrow_batches(t: Tables) -> DataFrame:
+    """A small result as Arrow, and as show() prints it."""
+    table = t.region.toArrow()
+    shown = t.region._show_string(3, 8, False) if hasattr(t.region, "_show_string") else ""
+    return t.spark.createDataFrame([(table.num_rows, "r_name" in shown and "only showing top 3 rows" in shown)], "n long, shown boolean")
+
+
+@q("c_explain", "EXPLAIN config", "SELECT true AS pushed, true AS same_conf")
 def explain(t: Tables) -> DataFrame:
     """The plan's text shows the pushed filter; settings can be set and unset."""
     s = t.views("lineitem")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,27 @@ def session(app: str = "millrace", cpus: int | None = None, **conf: str) -> Spar
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def at_stop(spark: SparkSession, action: Callable[[], None]) -> None:
+    """Runs action before the session's context stops, or at the driver's exit if nothing stops it."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_millrace_actions"):
+        sc._millrace_actions, plain_stop = [], sc.stop
+
+        def run() -> None:
+            while sc._millrace_actions and sc._jsc is not None:
+                sc._millrace_actions.pop()()
+
+        def stop() -> None:
+            run()
+            plain_stop()
+
+        sc.stop = stop
+        atexit.register(run)
+    sc._millrace_actions.append(action)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

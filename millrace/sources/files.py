@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CSV_OPTIONS = {"header", "sep", "delimiter", "quote", "escape", "nullValue", "compression", "inferSchema"}
+from millrace.session import at_stop, remove
+
+CSV_OPTIONS = {"header", "sep", "delimiter", "quote", "escape", "nullValue", "compression", "inferSchema", "dateFormat", "timestampFormat"}
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``); only a local session without that
-    setting gets a temporary folder."""
+    setting gets a temporary folder. What is written there goes when the session stops."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -21,7 +23,10 @@ def scratch(spark: SparkSession, label: str) -> str:
 
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        at_stop(spark, lambda: remove(spark, base))
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at_stop(spark, lambda: remove(spark, path))
+    return path
 
 
 def read_parquet(spark: SparkSession, *paths: str, recursive: bool = False, glob: str | None = None, where: str | None = None) -> DataFrame:

@@ -1 +1 @@
-
+"""Structured Streaming over the same tables."""
