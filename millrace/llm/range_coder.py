@@ -165,8 +165,8 @@ def _encode_lanes(blocks: list[np.ndarray], step: int = 128) -> list[bytes]:
         if most > words.shape[1]:
             words = np.concatenate([words, np.zeros((n, max(most - words.shape[1], longest // 4)), np.uint16)], axis=1)
         a, f = (np.ascontiguousarray(m[:, t0 : t0 + step].T).astype(_U) for m in (lows, widths))
-        for t in range(a.shape[0]):
-            live = int(np.searchsorted(-size, -(t0 + t)))  # the lanes whose block goes on
+        going = np.searchsorted(-size, -np.arange(t0, t0 + len(a))).tolist()  # the lanes whose block goes on
+        for t, live in enumerate(going):
             lo, ra, r = low[:live], rng[:live], rng[:live] >> _U(TOTAL)
             lo += r * a[t, :live]
             np.multiply(r, f[t, :live], out=ra)
