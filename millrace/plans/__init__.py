@@ -6,7 +6,7 @@ import importlib
 
 from millrace.registry import REGISTRY, Registry
 
-MODULES = ("tpch_shapes", "decision_support", "relational", "statistics_nulls", "storage", "function_families", "edges", "streams")
+MODULES = ("tpch_shapes", "decision_support", "retail_shapes", "relational", "statistics_nulls", "storage", "function_families", "edges", "streams")
 
 
 def load() -> Registry:
