@@ -17,26 +17,37 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.corr(a, b).alias("corr"))
 
 
-def quantiles(df: DataFrame, column: str, probabilities: list[float], by: tuple[str, ...] = (), exact: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """(by columns, p, value) for each group and probability: from a sketch of bounded size, or exact and interpolated.
+def quantiles(df: DataFrame, column: str, probabilities: list[float], by: tuple[str, ...] = (), exact: bool = False, accuracy: int = 10_000, discrete: bool = False, sketch: str = "percentile_approx", few_groups: bool = False) -> DataFrame:
+    """(by columns, p, value) for each group and probability: from a sketch of bounded size, or exact, interpolated or
+    (discrete) the least value that at least a share p of the rows doesn't exceed. NULL is a group; sketch is either of its names.
+    The limits of few_groups are broadcast, so that no row is shuffled by its group alone.
 
     The exact value comes from the ranks around it. The sketch, whose rank error is at most rows / accuracy, gives limits
     that surely hold them; rows below are only counted, and what lies between, some 4 / accuracy of the rows, is counted by
     distinct value, so no task sorts a whole group."""
     ps, v = [float(p) for p in probabilities], F.col(column)
     base = df.filter(v.isNotNull()).select(*by, v.alias("__v"))
+    of = lambda at: F.call_function(sketch, F.col("__v"), F.array(*map(F.lit, at)), F.lit(accuracy))
     if not exact:
-        found = base.groupBy(*by).agg(F.percentile_approx("__v", ps, accuracy).alias("value"))
+        found = base.groupBy(*by).agg(of(ps).alias("value"))
         zipped = F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), F.col("value"))
         return found.select(*by, F.inline(zipped).alias("p", "value"))
     around = [max(0.0, p - 2 / accuracy) for p in ps] + [min(1.0, p + 2 / accuracy) for p in ps]
-    limits = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", around, accuracy).alias("__q"))
+    limits = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), of(around).alias("__q"))
     each = F.array(*[F.struct(F.lit(p).alias("p"), F.col("__q")[k].alias("lo"), F.col("__q")[k + len(ps)].alias("hi")) for k, p in enumerate(ps)])
     limits = limits.select(*by, "__n", F.inline(each).alias("p", "__lo", "__hi"))
-    rows = base.join(limits, list(by)) if by else base.crossJoin(F.broadcast(limits))  # without groups a row a probability
+    if by:
+        same = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__l.{k}")) for k in by]
+        rows = base.alias("__r").join((F.broadcast(limits) if few_groups else limits).alias("__l"), same).select("__r.*", "__l.__n", "__l.p", "__l.__lo", "__l.__hi")
+    else:
+        rows = base.crossJoin(F.broadcast(limits))  # a row a probability
     place = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0)
     counts = rows.withColumn("__at", place).groupBy(*by, "p", "__n", "__at", F.when(place == 0, F.col("__v")).alias("__k")).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__v"))
     through = F.sum("__c").over(Window.partitionBy(*by, "p").orderBy("__at", "__v"))
+    if discrete:
+        least = F.greatest(F.col("__n") - F.floor(F.col("__n") - F.col("__n") * F.col("p")), F.lit(1))  # as SQL rounds it
+        enough = F.col("__t") >= least
+        return counts.withColumn("__t", through).groupBy(*by, "p").agg(F.min_by("__v", F.when(enough, F.col("__t"))).alias("value"))
     rank = (F.col("__n") - 1) * F.col("p")
     low, high = (F.min_by("__v", F.when(F.col("__t") > r, F.col("__t"))) for r in (F.floor(rank), F.ceil(rank)))
     out = counts.withColumn("__t", through).groupBy(*by, "p", "__n").agg(low.alias("__a"), high.alias("__b"))
