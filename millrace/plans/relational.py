@@ -100,12 +100,20 @@ S("j_natural", "nation region", "SELECT k, n, r FROM (SELECT n_regionkey AS k, n
 @q("j_range", "J8", """WITH step AS (SELECT p_partkey AS lo_key, p_retailprice AS lo, p_retailprice + 0.15 AS hi FROM part)
 SELECT lo_key, count(*) AS n FROM step JOIN part ON p_retailprice >= lo AND p_retailprice < hi GROUP BY lo_key""")
 def range_join(t: Tables) -> DataFrame:
-    """A band join as an equi-join on cells as wide as the band: a row meets the cell of its low end and the next one."""
-    width = 0.15
-    lo = t.part.select(F.col("p_partkey").alias("lo_key"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + width).alias("hi"))
-    lo = lo.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    price = t.part.select("p_retailprice", F.floor(F.col("p_retailprice") / width).alias("cell"))
-    return lo.join(price, "cell").filter("p_retailprice >= lo AND p_retailprice < hi").groupBy("lo_key").agg(F.count("*").alias("n"))
+    """A band join that is only counted: by distinct price, as rows below the band's end less rows below its start.
+
+    Cells are as wide as the band. A band asks in the cells from its start's to its end's how many rows lie below its end,
+    and in the first one also below its start; one sort of a cell answers all of them, so no pair is formed."""
+    width, x = 0.15, F.col("p_retailprice")
+    cell = lambda c: F.floor(c / width)
+    prices = t.part.filter(x < x + width).groupBy(x).agg(F.count(F.lit(1)).alias("c"))  # neither NULL, NaN nor without a band
+    ask = lambda k, at, sign: F.struct(k.alias("cell"), at.alias("at"), F.lit(1).alias("row"), F.lit(0).cast("bigint").alias("c"), F.lit(sign).alias("sign"))
+    row = F.struct(cell(x).alias("cell"), x.alias("at"), F.lit(2).alias("row"), F.col("c"), F.lit(0).alias("sign"))
+    ends = F.transform(F.sequence(cell(x), cell(x + width)), lambda k: ask(k, x + width, 1))
+    marks = prices.select(x, F.inline(F.concat(F.array(row, ask(cell(x), x, -1)), ends)))
+    below = F.sum("c").over(Window.partitionBy("cell").orderBy("at", "row").rowsBetween(Window.unboundedPreceding, 0))
+    found = marks.withColumn("below", below).filter("sign <> 0").groupBy("p_retailprice").agg(F.sum(F.col("sign") * F.col("below")).alias("n"))
+    return t.part.select(F.col("p_partkey").alias("lo_key"), x).join(found, "p_retailprice").groupBy("lo_key").agg(F.sum("n").alias("n"))
 
 
 @q("j_self", "J9 P9", "SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

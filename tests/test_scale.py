@@ -1,5 +1,9 @@
 """Queries over tables whose size or skew the test data doesn't have."""
 
+import math
+import random
+import threading
+
 import duckdb
 
 from millrace.plans import load
@@ -37,3 +41,34 @@ def test_discrete_quantiles_at_edges(spark):
     for p in ps:
         want |= {(g, p): v for g, v in con.execute(f"SELECT g, quantile_disc(v, {p}::DOUBLE) FROM d GROUP BY g HAVING count(v) > 0").fetchall()}
     assert got == want
+
+
+def within(spark, seconds: int, f):
+    """f's result; its jobs are cancelled after that time."""
+    spark.sparkContext.setJobGroup("within", "within", True)
+    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobGroup("within"))
+    timer.start()
+    try:
+        return f()
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_bands_of_equal_prices_need_no_pairs(spark, tmp_path):
+    n = 600_000  # 1.2e11 pairs
+    spark.range(0, n, 1, 4).selectExpr("id AS p_partkey", "CASE WHEN id % 3 = 0 THEN 900.0D WHEN id % 3 = 1 THEN 900.1D ELSE 900.2D END AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    out = within(spark, 60, lambda: R.builders["j_range"](spark, str(tmp_path)).groupBy("n").count().collect())
+    assert {r["n"]: r["count"] for r in out} == {n * 2 // 3: n * 2 // 3, n // 3: n // 3}
+
+
+def test_bands_of_odd_prices(spark, tmp_path):
+    rng = random.Random(5)
+    odd = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, -0.15, 0.15, 0.3, 1e300, -1e17, 2.0**50, 2.0**50 - 0.125, 2.0**50 + 0.25, 5e-324]
+    near = [k * 0.15 + e for k in range(-40, 40) for e in (0.0, 1e-16, -1e-16, 1e-13, -1e-13)]
+    cents = [rng.randrange(90_000, 90_300) / 100 for _ in range(2_000)]
+    prices = odd + near + cents + [rng.uniform(899.9, 901.1) for _ in range(2_000)] + odd + near
+    keys = [None, None, 7, 7, 7, *range(1000, 1000 + len(prices) - 5)]
+    rng.shuffle(prices)
+    spark.createDataFrame(list(zip(keys, prices)), "p_partkey bigint, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    same_as_sql(spark, tmp_path, "j_range", "part")
